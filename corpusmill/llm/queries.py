@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from corpusmill.llm import chat, quality
+from corpusmill.llm import chat, minhash, packing, quality, tokens, urls
 
 QUERIES = {
+    "op3_packing": packing.op3_packing,
+    "op4_url_filter": urls.op4_url_filter,
+    "op6_token_counts": tokens.op6_token_counts,
     "op8_quality_rules": quality.op8_quality_rules,
+    "op9_minhash": minhash.op9_minhash,
     "op10_chat_format": chat.op10_chat_format,
 }
 ORACLES = {
+    "op4_url_filter": urls.ORACLE_SQL,
     "op10_chat_format": chat.ORACLE_SQL,
 }
