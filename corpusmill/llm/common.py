@@ -213,8 +213,8 @@ class BlockedBloom:
         self.words = np.zeros(n_blocks * 8, U64) if words is None else words
 
     @classmethod
-    def blocks_for(cls, n_keys: int) -> int:
-        return int(min(cls.MOST // 64, max(16, -(-n_keys * 16 // 512))))
+    def blocks_for(cls, n_keys: int, bits: int = 16) -> int:
+        return int(min(cls.MOST // 64, max(16, -(-n_keys * bits // 512))))
 
     @classmethod
     def positions(cls, h: np.ndarray, n_blocks: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
@@ -242,13 +242,13 @@ class BlockedBloom:
         return ok
 
 
-def bloom_of(keys: DataFrame, column: str) -> BlockedBloom:
-    """A filter of a BIGINT column of hashes, built by a distributed bit-or of its 64-bit words.
+def bloom_of(keys: DataFrame, column: str, bits: int = 16) -> BlockedBloom:
+    """A filter, with `bits` bits a key while it can, of a BIGINT column of hashes, built by a distributed bit-or of its 64-bit words.
 
     What reaches the driver is the filter alone: at most BlockedBloom.MOST bytes, however many keys.
     """
     keys = keys.select(F.col(column).cast("bigint").alias("h")).where("h is not null")
-    n_blocks = BlockedBloom.blocks_for(keys.count())
+    n_blocks = BlockedBloom.blocks_for(keys.count(), bits)
 
     def masks(batches):
         for b in batches:
@@ -267,7 +267,6 @@ def bloom_of(keys: DataFrame, column: str) -> BlockedBloom:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(f["i"])), pa.array(np.concatenate(f["m"]).view(np.int64))], ["i", "m"])
 
     words = keys.mapInArrow(masks, "i long, m long").groupBy("i").agg(F.bit_or("m").alias("m"))
-    # each long takes 16 bytes on its way: cut the table into parts so that no single result is large
     out = BlockedBloom(n_blocks)
     got = words.toPandas()
     if len(got):

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from corpusmill.llm import chat, minhash, packing, quality, tokens, urls
+from corpusmill.llm import chat, decontam, minhash, packing, quality, tokens, toxicity, urls
 
 QUERIES = {
     "op3_packing": packing.op3_packing,
     "op4_url_filter": urls.op4_url_filter,
+    "op5_decontamination": decontam.op5_decontamination,
     "op6_token_counts": tokens.op6_token_counts,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_minhash": minhash.op9_minhash,
     "op10_chat_format": chat.op10_chat_format,
