@@ -30,6 +30,8 @@ SYMBOLS = "#*$%&|<>"
 UNIT = 1024
 #: Share of a group that an estimate rests on, concentration steps, and the smallest group with its own estimate.
 H, STEPS, LEAST = 0.75, 3, 50
+#: Parts into which the rows of a group are split wherever they meet its estimates.
+SALTS = 32
 #: Per feature: least standard deviation, in feature units.
 FEATURES = ("f_length", "f_word", "f_symbols", "f_lines", "f_repeat")
 FLOOR = (0.8, 0.12, 0.06, 0.08, 0.08)
@@ -119,28 +121,34 @@ def _distance() -> Column:
     return sum((x * x for x in y[1:]), y[0] * y[0])
 
 
+def _with(x: DataFrame, small: DataFrame, key: str) -> DataFrame:
+    """x joined with one row a group. A hot group's rows carry SALTS salts, and so come in as many parts."""
+    return x.join(small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [key, "_salt"])
+
+
 def robust_outliers(stats: DataFrame, key: str = "doc_id") -> DataFrame:
     """stats (with lang, source) plus distance (DOUBLE) and outlier (BOOLEAN)."""
     name = lambda *c: F.concat_ws("\x01", *[F.coalesce(F.concat(F.lit("="), x), F.lit("-")) for x in c])
-    x = materialize(features(stats).withColumn("_lang", name("lang")).withColumn("_own", name("lang", "source")))
-    # which documents have a group of their own: counts by group, joined by group (small tables; Spark broadcasts them if their size allows)
+    x = features(stats).withColumns({"_lang": name("lang"), "_own": name("lang", "source"), "_salt": F.pmod(F.xxhash64(key, *FEATURES), F.lit(SALTS)).cast("int")})
+    x = materialize(x)
     own = x.groupBy("_own").agg(F.count("*").alias("n_own"))
-    x = x.join(own, "_own")
+    x = _with(x, own, "_own")
     lang = x.groupBy("_lang").agg(F.count_if(F.col("n_own") < LEAST).alias("n_lang"))
-    x = x.join(lang, "_lang")
+    x = _with(x, lang, "_lang")
     x = x.withColumn("g", F.when(F.col("n_own") >= LEAST, F.col("_own")).when(F.col("n_lang") >= LEAST, F.col("_lang")).otherwise("*")).drop("n_own", "n_lang", "_own", "_lang")
-    return _judge(x, key)
+    return _judge(x)
 
 
 def _bin(d: Column) -> Column:
     return F.floor(F.ln(d + 1e-3) * 16).cast("int")
 
 
-def _judge(x: DataFrame, key: str) -> DataFrame:
-    est = materialize(x.select("g", *FEATURES))
+def _judge(x: DataFrame) -> DataFrame:
+    x = materialize(x)
+    est = x.select("g", "_salt", *FEATURES)
     p = len(FEATURES)
     med = est.groupBy("g").agg(*[F.percentile_approx(f, 0.5, 10000).alias(f"m{i}") for i, f in enumerate(FEATURES)])
-    dev = est.join(med, "g").groupBy("g").agg(*[F.percentile_approx(F.abs(F.col(f) - F.col(f"m{i}")), 0.5, 10000).alias(f"a{i}") for i, f in enumerate(FEATURES)])
+    dev = _with(est, med, "g").groupBy("g").agg(*[F.percentile_approx(F.abs(F.col(f) - F.col(f"m{i}")), 0.5, 10000).alias(f"a{i}") for i, f in enumerate(FEATURES)])
     fit = med.join(dev, "g").select(
         "g",
         *[F.col(f"m{i}").cast("double").alias(f"m{i}") for i in range(p)],
@@ -148,15 +156,15 @@ def _judge(x: DataFrame, key: str) -> DataFrame:
     )
     for step in range(STEPS):
         fit = materialize(fit)
-        d = est.join(fit, "g").select("g", *FEATURES, _bin(_distance()).alias("b"))
+        d = _with(est, fit, "g").select("g", "_salt", *FEATURES, _bin(_distance()).alias("b"))
         counts = d.groupBy("g", "b").agg(F.count("*").alias("n"))
         total = counts.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("b", "n"))).alias("bins"), F.sum("n").alias("all"))
         # the lowest bin at which the share H is reached; the number of bins is bounded by the logarithm of a distance
         cut = total.select("g", F.aggregate("bins", F.struct(F.lit(0).cast("long").alias("n"), F.lit(-10**6).alias("b")), lambda a, y: F.when(a["n"] >= F.col("all") * H, a).otherwise(F.struct((a["n"] + y["n"]).alias("n"), y["b"].alias("b"))))["b"].alias("cut"))
-        best = d.join(cut, "g").where("b <= cut").groupBy("g").agg(*_moments())
+        best = _with(d, cut, "g").where("b <= cut").groupBy("g").agg(*_moments())
         fit = _cholesky(best, CONSISTENCY)
     fit = materialize(fit)
-    return x.join(fit, "g").withColumn("distance", _distance()).withColumn("outlier", F.col("distance") > CUT).drop("g", *[f"m{i}" for i in range(p)], *[f"l{i}{j}" for i in range(p) for j in range(i + 1)])
+    return _with(x, fit, "g").withColumn("distance", _distance()).withColumn("outlier", F.col("distance") > CUT).drop("g", "_salt", *[f"m{i}" for i in range(p)], *[f"l{i}{j}" for i in range(p) for j in range(i + 1)])
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
