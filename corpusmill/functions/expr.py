@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,15 +18,20 @@ def count_of(text: Column | str, phrase: Column | str) -> Column:
     return F.floor((F.length(t) - F.length(F.replace(t, p, F.lit("")))) / F.length(p))
 
 
+def let(value: Column | str, f: Callable[[Column], Column]) -> Column:
+    """f(value) with the value computed once, however often f uses it, also within lambdas."""
+    return F.get(F.transform(F.array(col(value)), f), F.lit(0))
+
+
 def count_all(text: Column | str, items: Iterable[str]) -> Column:
     """Sum of the occurrences of every literal; only those that occur are counted, in one expression without a shuffle."""
-    t, lits = col(text), F.array(*[F.lit(x) for x in items])
-    return F.aggregate(F.filter(lits, lambda p: F.contains(t, p)), F.lit(0).cast("long"), lambda a, p: a + count_of(t, p))
+    lits = F.array(*[F.lit(x) for x in items])
+    return let(text, lambda t: F.aggregate(F.filter(lits, lambda p: F.contains(t, p)), F.lit(0).cast("long"), lambda a, p: a + count_of(t, p)))
 
 
 def contains_any(text: Column | str, items: Iterable[str]) -> Column:
-    t = col(text)
-    return F.exists(F.array(*[F.lit(x) for x in items]), lambda p: F.contains(t, p))
+    lits = F.array(*[F.lit(x) for x in items])
+    return let(text, lambda t: F.exists(lits, lambda p: F.contains(t, p)))
 
 
 def count_chars(text: Column | str, chars: str) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from corpusmill.functions.expr import col, count_chars, count_of
+from corpusmill.functions.expr import col, count_chars, count_of, let
 from corpusmill.functions.phrases import mapping
 
 
@@ -43,7 +43,7 @@ def entropy(text) -> Column:
             F.when(a["c"] == c, a["s"]).otherwise(a["s"] + F.when(a["n"] > 0, a["n"] * F.ln(a["n"].cast("double"))).otherwise(0.0)).alias("s"),
         ),
     )
-    total = state["s"] + F.when(state["n"] > 0, state["n"] * F.ln(state["n"].cast("double"))).otherwise(0.0)
+    total = let(state, lambda a: a["s"] + F.when(a["n"] > 0, a["n"] * F.ln(a["n"].cast("double"))).otherwise(0.0))
     return F.when(n > 0, (F.ln(n.cast("double")) - total / n) / F.ln(F.lit(2.0))).otherwise(0.0)
 
 

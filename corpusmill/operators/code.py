@@ -1,13 +1,12 @@
 """Source-code filters; what needs a parser is an Arrow UDF over whole batches."""
 
-from __future__ import annotations
-
 import ast
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusmill.functions.expr import col, contains_any, strip
 from corpusmill.functions.phrases import phrases
@@ -23,13 +22,13 @@ def _imports(code: str | None) -> list[str] | None:
     return [a.name for n in nodes if isinstance(n, ast.Import) for a in n.names] + [n.module for n in nodes if isinstance(n, ast.ImportFrom) and n.module]
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def imports(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in batches:
         yield s.map(_imports)
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def docstrings(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Docstrings of modules, classes and functions; none if the code does not parse."""
 

@@ -52,8 +52,8 @@ def simhash_bits(docs: DataFrame, key: str = "doc_id", text: str = "text", stopw
 
     Each word adds count * ln(count) with its hash's signs; words that occur once add nothing, so
     texts of unrepeated words hash to zero, which is never a sign of likeness. Signs are summed as
-    integers for each count, then combined in ascending order of count, so that equal counts
-    cancel exactly. The counts of one document's words meet in one row, as arrays of `bits` sums.
+    integers for each count, then combined in ascending order of count; sums within 1e-7 of zero
+    are zero, so that counts that cancel give no bit. The counts of one document's words meet in one row, as arrays of `bits` sums.
     """
     stop = F.array(*[F.lit(w) for w in (phrases("stopwords") if stopwords is None else stopwords)])
     w = docs.select(key, F.explode_outer(F.filter(F.split(simhash_clean(text), " "), lambda x: ~F.array_contains(stop, x))).alias("w"))
@@ -64,7 +64,7 @@ def simhash_bits(docs: DataFrame, key: str = "doc_id", text: str = "text", stopw
     per = per.select(key, F.struct("n", F.array(*[F.col(f"b{i}") for i in range(bits)]).alias("b")).alias("x"))
     doc = per.groupBy(key).agg(F.array_sort(F.collect_list("x")).alias("xs"))
     total = lambda i: F.aggregate("xs", F.lit(0.0), lambda a, x: a + x["b"][i] * (x["n"] * F.ln(x["n"].cast("double"))))
-    sig = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(bits - 1)), lambda i: F.when(total(i) > 0, "1").otherwise("0")), "")
+    sig = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(bits - 1)), lambda i: F.when(total(i) > 1e-7, "1").otherwise("0")), "")
     return docs.select(key).join(doc.select(key, sig.alias("simhash")), key, "left")
 
 

@@ -1,12 +1,11 @@
 """Extraction: arrays of what a text holds, and frames that explode them."""
 
-from __future__ import annotations
-
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusmill.functions.expr import col, strip
 from corpusmill.functions.text import html_paragraphs
@@ -48,7 +47,7 @@ def wiki_links(text, own=None) -> Column:
 def page_views(text) -> Column:
     """The monthly figure of an information page."""
     raw = F.regexp_extract(col(text), r'(?s)<td>Page views in the past 30 days</td>.*?<a [^>]*>([\d, ]+)</a>', 1)
-    return F.translate(raw, ", ", "").try_cast("bigint") if hasattr(Column, "try_cast") else F.expr("null")
+    return F.translate(raw, ", ", "").try_cast("bigint")
 
 
 def video_links(text) -> Column:
@@ -75,7 +74,7 @@ def video_ids(text) -> Column:
     return F.array_distinct(F.transform(parts, lambda p: F.substring_index(F.substring_index(F.substring_index(p, '"', 1), "&", 1), "t=", 1)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def balanced_json(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """The text from its first brace to the brace that closes it; null if none does."""
 

@@ -114,7 +114,7 @@ def chunks(tokens, size: int) -> Column:
     """Consecutive chunks of `size`; a rest of `size` or fewer is dropped."""
     t = col(tokens)
     n = F.floor((F.size(t) - 1) / size).cast("int")
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.slice(t, i * size + 1, size))).otherwise(F.array().cast("array<array<int>>"))
+    return F.transform(F.filter(F.sequence(F.lit(0), F.greatest(n, F.lit(0))), lambda i: i < n), lambda i: F.slice(t, i * size + 1, size))
 
 
 def windows(df: DataFrame, length: int, per_row: int, key: str = "doc_id", tokens: str = "tokens", seed: int = 0) -> DataFrame:

@@ -1,22 +1,647 @@
-"""Registered queries over the driver's tables and their SQL."""
+"""Registered queries over the driver's tables and, under the same names, their SQL.
+
+Rules whose phrases do not occur in the tables are run on texts with phrases appended, in the
+same way on both sides; the counts are returned with the verdicts.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corpusmill.functions import metrics, text as tx
+from corpusmill.functions.expr import bucket, keep, words
+from corpusmill.functions.phrases import mapping, phrases
+from corpusmill.operators import aggregate, code, dedup, extract, filters, relational, tokens
+from corpusmill.plans import pipelines
+
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def _query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+def _t(s, d, name):
+    return s.read.parquet(f"{d}/{name}.parquet")
+
+
+# ------------------------------------------------------------------ SQL pieces
+
+
+def _q(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def _list(xs) -> str:
+    return "[" + ", ".join(_q(x) for x in xs) + "]"
+
+
+def _cnt(t: str, p: str) -> str:
+    return f"((length({t}) - length(replace({t}, {p}, ''))) // length({p}))"
+
+
+def _cnt_all(t: str, xs) -> str:
+    return f"list_sum(list_transform({_list(xs)}, lambda p: {_cnt(t, 'p')}))"
+
+
+def _any(t: str, xs) -> str:
+    return f"len(list_filter({_list(xs)}, lambda p: contains({t}, p))) > 0"
+
+
+def _chars(t: str, chars: str) -> str:
+    return f"(length({t}) - length(translate({t}, {_q(chars)}, '')))"
+
+
+_BUCKET = "(('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8))::BIGINT % 10000)"
+
+
+def _inject(docs, items):
+    """Texts with a phrase appended 0 to 5 times, by doc_id."""
+    n = len(items)
+    phrase = F.get(F.array(*[F.lit(x) for x in items]), (F.col("doc_id") % n).cast("int"))
+    times = (F.floor(F.col("doc_id") / n) % 6).cast("int")
+    return docs.withColumn("text", F.concat("text", F.lit(" "), F.repeat(F.concat(phrase, F.lit(" ")), times)))
+
+
+def _injected(items) -> str:
+    n = len(items)
+    return f"(SELECT doc_id, lang, source, text || ' ' || repeat({_list(items)}[CAST(doc_id % {n} AS INTEGER) + 1] || ' ', CAST((doc_id // {n}) % 6 AS INTEGER)) AS text FROM documents)"
+
+
+# ------------------------------------------------------------------ gates and filters
+
+
+@_query(
+    "web_gate_totals",
+    """SELECT source, count(*) AS n_docs, CAST(sum(length(text)) AS BIGINT) AS n_chars, CAST(sum(len(string_split(text, ' '))) AS BIGINT) AS n_words
+    FROM documents WHERE lang = 'en' AND n_chars > 2500 GROUP BY source""",
+)
+def _web_gate_totals(s, d):
+    docs = _t(s, d, "documents").where((F.col("lang") == "en") & (F.col("n_chars") > 2500))
+    return aggregate.corpus_totals(docs, "source")
+
+
+_SOFT = phrases("soft")
+_HARD = phrases("hard")
+
+
+def _ascii_only(x):
+    return x.where(~F.col("text").rlike(r"[^\x00-\x7F]"))
+
+
+@_query(
+    "web_gate_blacklist",
+    f"""WITH i AS (SELECT * FROM {_injected(_SOFT + _HARD)} WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]')),
+    h AS (SELECT doc_id, lang, length(text) AS n, regexp_matches(text, {_q(filters.alternation(_HARD))}) AS hard,
+      len(regexp_extract_all(text, {_q(filters.alternation(_SOFT))})) AS soft, {_BUCKET} < 100 AS lucky FROM i)
+    SELECT doc_id, hard, CAST(soft AS BIGINT) AS soft, (lang = 'en' AND n > 2500 AND ((NOT hard AND soft <= 3) OR lucky)) AS kept FROM h""",
+)
+def _web_gate_blacklist(s, d):
+    x = _ascii_only(_inject(_t(s, d, "documents"), _SOFT + _HARD))
+    gate = (F.col("lang") == "en") & (F.length("text") > 2500) & filters.blacklist("text", "doc_id")
+    return x.select("doc_id", filters.hard_hit("text").alias("hard"), filters.soft_hits("text").cast("long").alias("soft"), gate.alias("kept"))
+
+
+_VIBE = phrases("vibe")
+
+
+@_query("vibe_check", f"SELECT doc_id, CAST(h AS BIGINT) AS hits, h <= 3 AS kept FROM (SELECT doc_id, {_cnt_all('lower(text)', _VIBE)} AS h FROM {_injected(_VIBE)})")
+def _vibe_check(s, d):
+    x = _inject(_t(s, d, "documents"), _VIBE)
+    return x.select("doc_id", filters.vibe_hits("text").cast("long").alias("hits"), filters.vibe_check("text").alias("kept"))
+
+
+_TOPIC_PROBE = phrases("topics")[::3] + phrases("good_phrases")[::7]
+
+
+@_query(
+    "topic_filter",
+    f"""SELECT doc_id, CAST(h AS BIGINT) AS hits, g AS good, (g OR h > 3) AS matched, (g OR h > 3 OR lucky) AS kept
+    FROM (SELECT doc_id, {_cnt_all('l', phrases('topics'))} AS h, {_any('l', phrases('good_phrases'))} AS g, {_BUCKET} < 500 AS lucky
+      FROM (SELECT doc_id, lower(text) AS l FROM {_injected(_TOPIC_PROBE)}))""",
+)
+def _topic_filter(s, d):
+    x = _inject(_t(s, d, "documents"), _TOPIC_PROBE).select("doc_id", F.lower("text").alias("text"))
+    good = filters.contains_any("text", phrases("good_phrases"))
+    x = x.select("doc_id", filters.topic_hits("text").cast("long").alias("hits"), good.alias("good"))
+    matched = F.col("good") | (F.col("hits") > 3)
+    return x.select("doc_id", "hits", "good", matched.alias("matched"), (matched | keep("doc_id", 0.05)).alias("kept"))
+
+
+_PAGE_PROBE = phrases("calls") + phrases("adult") + ["the previous page is sending you to"]
+
+
+def _flags_sql(src: str) -> str:
+    n, w = "greatest(length(l), 1)", "len(string_split(l, ' '))"
+    commas, marks = _cnt("l", "','"), _chars("l", ",.!?")
+    return f"""SELECT doc_id, length(l) < 1500 AS short,
+      {_any('l', ['the previous page is sending you to', 'please confirm that you and not a robot'])} AS interstitial,
+      6 * {_cnt_all('l', phrases('adult'))} / {n} > 0.005 AS adult, {_any('l', phrases('calls'))} AS call_to_action,
+      {_chars('l', "abcdefghijklmnopqrstuvwxyz0123456789 .?!,'")} / {n} < 0.95 AS alphabet, length(l) / {w} > 12 AS long_words,
+      {marks} / {n} < 0.002 AS no_punctuation, {commas} / {w} > 0.1 AS commas,
+      ({commas} / {w} > 0.075 AND ({marks} - {commas}) / {n} < 0.005) AS lists, {_cnt('l', "'-'")} / {n} > 0.01 AS dashes
+      FROM (SELECT doc_id, lower(text) AS l FROM {src})"""
+
+
+@_query("page_gate_flags", f"SELECT *, NOT (short OR interstitial OR adult OR call_to_action OR alphabet OR long_words OR no_punctuation OR commas OR lists OR dashes) AS kept FROM ({_flags_sql(_injected(_PAGE_PROBE))})")
+def _page_gate_flags(s, d):
+    x = _inject(_t(s, d, "documents"), _PAGE_PROBE).select("doc_id", filters.page_flags("text").alias("f")).select("doc_id", "f.*")
+    bad = F.col(filters.PAGE_TESTS[0])
+    for t in filters.PAGE_TESTS[1:]:
+        bad = bad | F.col(t)
+    return x.withColumn("kept", ~bad)
+
+
+@_query(
+    "paragraph_filter",
+    f"""SELECT doc_id, array_to_string(list_filter(string_split(text, chr(10))[:-2], lambda x: length(x) > 100 AND {_chars('x', ',.!?')} / length(x) >= 0.005), chr(10)) AS text FROM documents""",
+)
+def _paragraph_filter(s, d):
+    return _t(s, d, "documents").select("doc_id", filters.good_paragraphs("text").alias("text"))
+
+
+@_query(
+    "heading_paragraphs",
+    """SELECT doc_id, CASE WHEN length(t) >= 1000 THEN t END AS text FROM (SELECT doc_id, array_to_string(list_filter(b[:-2], lambda x, i: length(x) > 100 OR (length(x) >= 1 AND length(b[i + 1]) > 100)), chr(10)) AS t
+    FROM (SELECT doc_id, string_split(text, chr(10)) AS b FROM documents))""",
+)
+def _heading_paragraphs(s, d):
+    return _t(s, d, "documents").select("doc_id", filters.heading_paragraphs("text").alias("text"))
+
+
+@_query("runon_removal", "SELECT doc_id, array_to_string(list_filter(regexp_extract_all(text, '(?s)[^.?!]+|[.?!]'), lambda p: len(string_split(p, ' ')) <= 100), '') AS text FROM documents")
+def _runon_removal(s, d):
+    return _t(s, d, "documents").select("doc_id", filters.without_runons("text").alias("text"))
+
+
+@_query("plain_characters", "SELECT doc_id, NOT regexp_matches(text, '[^\\x20-\\x7E\\n\\t]') AS plain FROM documents")
+def _plain_characters(s, d):
+    return _t(s, d, "documents").select("doc_id", filters.plain_characters("text").alias("plain"))
+
+
+@_query(
+    "alphabet_ratio",
+    f"""SELECT doc_id, round(a, 9) AS share, (a >= 0.5 AND 6 * {_cnt_all('l', phrases('adult4'))} / length(l) <= 0.01) AS kept
+    FROM (SELECT doc_id, l, {_chars('l', 'abcdefghijklmnopqrstuvwxyz.?!')} / length(l) AS a FROM (SELECT doc_id, lower(text) AS l FROM {_injected(phrases('adult4'))}))""",
+)
+def _alphabet_ratio(s, d):
+    x = _inject(_t(s, d, "documents"), phrases("adult4"))
+    return x.select("doc_id", F.round(filters.alphabet_share("text"), 9).alias("share"), filters.alphabet_ok("text").alias("kept"))
+
+
+_CAPTION_PROBE = ["[music]", "[applause]", "font", "."]
+
+
+@_query(
+    "transcript_quality",
+    f"""SELECT doc_id, (n >= 500 AND {_cnt('h', "'font'")} <= 50 AND 7 * {_cnt('h', "'[music]'")} / n <= 0.1 AND 10 * {_cnt('h', "'[applause]'")} / n <= 0.1) AS kept,
+    {_cnt('text', "'.'")} / length(text) > 0.005 AS punctuated FROM (SELECT doc_id, text, lower(substr(text, 1, 5000)) AS h, length(lower(substr(text, 1, 5000))) AS n FROM {_injected(_CAPTION_PROBE)})""",
+)
+def _transcript_quality(s, d):
+    x = _inject(_t(s, d, "documents"), _CAPTION_PROBE)
+    return x.select("doc_id", filters.transcript_ok("text").alias("kept"), filters.punctuated("text").alias("punctuated"))
+
+
+_URLS = phrases("url_paths")[:7] + phrases("url_shops") + ["w3schools.com", "://mit.edu", "en.wikipedia.org"]
+
+
+def _url_sql() -> str:
+    n = len(_URLS)
+    return f"(SELECT page_id, url || {_list(_URLS)}[CAST(page_id % {n} AS INTEGER) + 1] AS url FROM pages)"
+
+
+@_query("url_filters", f"SELECT page_id, NOT ({_any('lower(url)', phrases('url_paths') + phrases('url_shops'))}) AS allowed, ({_any('url', ['w3schools.com', '://mit.edu', 'en.wikipedia.org'])}) AS known_good FROM {_url_sql()}")
+def _url_filters(s, d):
+    u = F.concat("url", F.get(F.array(*[F.lit(x) for x in _URLS]), (F.col("page_id") % len(_URLS)).cast("int")))
+    return _t(s, d, "pages").select("page_id", u.alias("url")).select("page_id", filters.url_allowed("url").alias("allowed"), filters.url_known_good("url").alias("known_good"))
+
+
+@_query(
+    "paragraph_flags",
+    """SELECT doc_id, regexp_matches(text, 'https?://\\S+|www\\.\\S+') AS url, regexp_matches(text, '```|<code>.*</code>|[#*-]|\\d+\\.') AS code,
+    regexp_matches(text, '[^A-Za-z0-9_\\s]') AS symbols, len(regexp_extract_all(text, '[A-Za-z0-9_]+')) < 20 AS few_words, len(string_split(text, chr(10))) - 1 >= 5 AS many_lines
+    FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]')""",
+)
+def _paragraph_flags(s, d):
+    x = _ascii_only(_t(s, d, "documents")).select("doc_id", filters.paragraph_flags("text").alias("f"))
+    return x.select("doc_id", "f.url", "f.code", "f.symbols", "f.few_words", "f.many_lines")
+
+
+@_query("python_mentions", "SELECT doc_id, contains(lower(text || CASE WHEN doc_id % 3 = 0 THEN ' PYthon' ELSE '' END), 'python') AS hit FROM documents")
+def _python_mentions(s, d):
+    return _t(s, d, "documents").select("doc_id", filters.mentions_python(F.concat("text", F.when(F.col("doc_id") % 3 == 0, " PYthon").otherwise(""))).alias("hit"))
+
+
+@_query("news_gate", f"SELECT doc_id, 'Title ' || source || chr(10) || chr(10) || text AS text FROM (SELECT doc_id, source, text || repeat(' https', CAST(doc_id % 61 AS INTEGER)) AS text, CASE WHEN lang = 'en' THEN 'english' ELSE lang END AS l FROM documents) WHERE l = 'english' AND {_cnt('text', _q('https'))} <= 30")
+def _news_gate(s, d):
+    x = _t(s, d, "documents").select("doc_id", "source", F.concat("text", F.repeat(F.lit(" https"), (F.col("doc_id") % 61).cast("int"))).alias("text"), F.when(F.col("lang") == "en", "english").otherwise(F.col("lang")).alias("language"))
+    return x.where(filters.news_ok("language", "text")).select("doc_id", F.concat(F.lit("Title "), "source", F.lit("\n\n"), "text").alias("text"))
+
+
+# ------------------------------------------------------------------ metrics
+
+
+@_query(
+    "viewer_stats",
+    f"""SELECT doc_id, round({_chars('lower(text)', 'abcdefghijklmnopqrstuvwxyz.?!,')} / length(text), 9) AS alphabet_share, round({_chars('text', '.!?",')} / length(text), 9) AS punctuation_share,
+    round(length(text) / w, 9) AS mean_word, round({_cnt('text', "','")} / w, 9) AS comma_share, CAST({_cnt('text', "'casino'")} AS BIGINT) AS casino
+    FROM (SELECT doc_id, text, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS w FROM documents)""",
+)
+def _viewer_stats(s, d):
+    x = _t(s, d, "documents").select("doc_id", metrics.viewer_stats("text").alias("v"))
+    return x.select("doc_id", *[F.round(f"v.{c}", 9).alias(c) for c in ("alphabet_share", "punctuation_share", "mean_word", "comma_share")], "v.casino")
+
+
+@_query("term_density", f"SELECT doc_id, round({_cnt('text', _q('the'))} / length(text) / 3, 12) AS density FROM documents")
+def _term_density(s, d):
+    return _t(s, d, "documents").select("doc_id", F.round(metrics.term_density("text", "the"), 12).alias("density"))
+
+
+_TW = mapping("topic_weights")
+
+
+@_query(
+    "topic_score",
+    "SELECT doc_id, round(score, 9) AS score FROM (SELECT doc_id, "
+    + " * ".join(f"(CASE WHEN {_cnt('text', _q(k))} > 0 THEN {_cnt('text', _q(k))} * {w / 2} ELSE 1.0 END)" for k, w in _TW.items())
+    + f" / length(text) AS score FROM {_injected(list(_TW))}) ORDER BY score DESC, doc_id LIMIT 10",
+)
+def _topic_score(s, d):
+    x = _inject(_t(s, d, "documents"), list(_TW)).select("doc_id", metrics.topic_score("text").alias("score"))
+    return relational.top(x, "score", 10, "doc_id").select("doc_id", F.round("score", 9).alias("score"))
+
+
+@_query(
+    "entropy",
+    """WITH c AS (SELECT doc_id, c, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, '')) AS c FROM documents) WHERE c <> '' GROUP BY ALL)
+    SELECT doc_id, round(-sum(n / t * log2(n / t)), 6) AS entropy FROM (SELECT doc_id, n, sum(n) OVER (PARTITION BY doc_id) AS t FROM c) GROUP BY doc_id""",
+)
+def _entropy(s, d):
+    return _t(s, d, "documents").select("doc_id", F.round(metrics.entropy("text"), 6).alias("entropy"))
+
+
+@_query("tf_idf", "WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS w FROM documents), c AS (SELECT doc_id, w, count(*) AS n FROM w GROUP BY ALL), f AS (SELECT w, count(*) AS df FROM c GROUP BY w HAVING count(*) BETWEEN 3 AND 20), t AS (SELECT doc_id, sum(n) AS m FROM c GROUP BY doc_id) SELECT doc_id, w AS word, round(n / m * ln((SELECT count(*) FROM documents) / df), 9) AS tf_idf FROM c JOIN f USING (w) JOIN t USING (doc_id)")
+def _tf_idf(s, d):
+    docs = _t(s, d, "documents")
+    c = docs.select("doc_id", F.explode(F.split("text", " ")).alias("word")).groupBy("doc_id", "word").agg(F.count("*").alias("n"))
+    df = c.groupBy("word").agg(F.count("*").alias("df")).where(F.col("df").between(3, 20))
+    m = docs.select("doc_id", words("text").alias("m"))
+    n = docs.agg(F.count("*").alias("docs"))
+    x = c.join(df, "word").join(m, "doc_id").join(F.broadcast(n))  # one row is broadcast
+    return x.select("doc_id", "word", F.round(metrics.tf_idf("n", "m", "docs", "df"), 9).alias("tf_idf"))
+
+
+@_query("doc_keys", "SELECT doc_id, md5(substr(text, 1, 4096)) AS doc_key FROM documents")
+def _doc_keys(s, d):
+    return _t(s, d, "documents").select("doc_id", metrics.doc_id("text").alias("doc_key"))
+
+
+# ------------------------------------------------------------------ transforms
+
+_CLEAN = "regexp_replace(translate(lower(text), '.?!' || chr(10) || '-\"''()[]', '     '), ' {2,}', ' ', 'g')"
+
+
+@_query("simhash_clean", f"SELECT doc_id, {_CLEAN} AS text FROM documents")
+def _simhash_clean(s, d):
+    return _t(s, d, "documents").select("doc_id", tx.simhash_clean("text").alias("text"))
+
+
+@_query("title_keys", "SELECT page_id, translate(lower(url), ' _', '') AS key, translate(replace(url, 'https://en.wikipedia.org/wiki/', ''), ':;', '__') AS url_key FROM pages")
+def _title_keys(s, d):
+    return _t(s, d, "pages").select("page_id", tx.title_key("url").alias("key"), tx.url_key("url").alias("url_key"))
+
+
+@_query("sentence_spacing", "SELECT doc_id, regexp_replace(replace(text, '. ', '.'), '\\.([A-Z])', '. \\1', 'g') AS text FROM documents")
+def _sentence_spacing(s, d):
+    return _t(s, d, "documents").select("doc_id", tx.sentence_spacing(F.replace("text", F.lit(". "), F.lit("."))).alias("text"))
+
+
+@_query("delete_chars", "SELECT doc_id, translate(text, 'aeiou,', '') AS text FROM documents")
+def _delete_chars(s, d):
+    return _t(s, d, "documents").select("doc_id", tx.delete_chars("text", "aeiou,").alias("text"))
+
+
+@_query("ascii_variants", "SELECT doc_id, translate(text, " + _q(tx.ASCII_GOOD) + ", '') AS without_ascii, regexp_replace(text, '[^\\x21-\\x7E]', '', 'g') AS only_ascii FROM documents")
+def _ascii_variants(s, d):
+    return _t(s, d, "documents").select("doc_id", tx.without_good_ascii("text").alias("without_ascii"), tx.only_good_ascii("text").alias("only_ascii"))
+
+
+@_query("make_good", f"SELECT doc_id, regexp_replace(regexp_replace(replace(translate(text, '–—’ˈ`”“', '--''''''\"\"'), '…', '...'), '[^\\x20-\\x5F\\x61-\\x7E\\n©°•·×→{tx.GREEK}]', '?', 'g'), '\\n{{2,}}', chr(10), 'g') AS text FROM documents")
+def _make_good(s, d):
+    return _t(s, d, "documents").select("doc_id", tx.make_good("text").alias("text"))
+
+
+def _fold(t: str, pairs) -> str:
+    for a, b in pairs:
+        t = f"replace({t}, {_q(a)}, {_q(b)})"
+    return t
+
+
+@_query("clean_transcript", f"SELECT doc_id, {_fold('lower(text)', tx.TRANSCRIPT)} AS text FROM documents")
+def _clean_transcript(s, d):
+    return _t(s, d, "documents").select("doc_id", tx.clean_transcript("text").alias("text"))
+
+
+@_query("wiki_text", r"""SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(html, '</?[A-Za-z0-9_]+[^>]*?>', '', 'g'), '&nbsp;', ' '), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '''''', '"'), '\n{3,}', chr(10) || chr(10), 'g'), '[ \t]+\n', chr(10), 'g'), '\*(\n\*)+', '*', 'g'), ' ' || chr(9) || chr(10) || chr(13)) AS text
+    FROM (SELECT page_id, regexp_replace(translate(html, '[]{}', ''), '(?s)<!--.*?-->', '', 'g') AS html FROM pages)""")
+def _wiki_text(s, d):
+    return _t(s, d, "pages").select("page_id", tx.wikitext(F.translate("html", "[]{}", "")).alias("text"))
+
+
+@_query("html_paragraphs", "SELECT page_id, array_to_string(list_transform(string_split(html, '<p>')[2:], lambda p: string_split(p, '</p>')[1]), chr(10)) AS text FROM pages")
+def _html_paragraphs(s, d):
+    return _t(s, d, "pages").select("page_id", extract.paragraphs("html").alias("text"))
+
+
+@_query("question_html", _fold("html", []) and "SELECT page_id, " + "replace(replace(regexp_replace(" + _fold("html", [(f"<{t}>", "") for t in ("p", "/p", "em", "/em", "br /", "/pre")] + [("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">")]) + ", '(?is)<pre\\b[^>]*>', '', 'g'), '<code>', '<|writecode|>'), '</code>', '<|writecode|>') AS text FROM pages")
+def _question_html(s, d):
+    return _t(s, d, "pages").select("page_id", tx.question_html("html").alias("text"))
+
+
+# ------------------------------------------------------------------ extraction
+
+
+@_query("page_links", "SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS link FROM pages")
+def _page_links(s, d):
+    return _t(s, d, "pages").select("page_id", F.explode(extract.links("html")).alias("link"))
+
+
+@_query("video_links", "SELECT page_id, unnest(regexp_extract_all(t, 'watch\\?v=[A-Za-z0-9_-]+')) AS link FROM (SELECT page_id, '/watch?v=a-' || page_id || '&t=3 /watch?v=b_' || url AS t FROM pages)")
+def _video_links(s, d):
+    t = F.concat(F.lit("/watch?v=a-"), F.col("page_id").cast("string"), F.lit("&t=3 /watch?v=b_"), "url")
+    return _t(s, d, "pages").select("page_id", F.explode(extract.video_links(t)).alias("link"))
+
+
+@_query("question_links", "SELECT page_id, unnest(regexp_extract_all(t, '/questions/[0-9]{6,9}/[a-z-]+')) AS link FROM (SELECT page_id, '/questions/' || (page_id + 99990) || '/how-to X /questions/' || (page_id + 1000000) || '/b' AS t FROM pages)")
+def _question_links(s, d):
+    p = F.col("page_id")
+    t = F.concat(F.lit("/questions/"), (p + 99990).cast("string"), F.lit("/how-to X /questions/"), (p + 1000000).cast("string"), F.lit("/b"))
+    return _t(s, d, "pages").select("page_id", F.explode(extract.question_links(t)).alias("link"))
+
+
+@_query("document_explode", "SELECT source, text FROM (SELECT source, trim(unnest(string_split(t, '<|endoftext|>'))) AS text FROM (SELECT source, string_agg(substr(replace(text, chr(10), ' '), 1, 80), '<|endoftext|>') AS t FROM documents GROUP BY source)) WHERE text <> ''")
+def _document_explode(s, d):
+    x = _t(s, d, "documents").select("source", F.substring(F.translate("text", "\n", " "), 1, 80).alias("text"))
+    x = x.groupBy("source").agg(F.array_join(F.collect_list("text"), "<|endoftext|>").alias("value"))  # 80 characters a document, to have something to split
+    docs = x.select("source", F.explode(F.split("value", r"<\|endoftext\|>")).alias("text"))
+    return docs.select("source", F.trim("text").alias("text")).where("text <> ''")
+
+
+# ------------------------------------------------------------------ aggregation
+
+
+@_query("view_score", """WITH c AS (SELECT user_id AS key, count(*) AS x FROM events GROUP BY user_id, CAST(ts AS DATE)),
+    m AS (SELECT key, floor(median(x)) AS m, count(*) AS n FROM c GROUP BY key HAVING count(*) >= 5),
+    y AS (SELECT c.key, n, least(x, 2 * m) AS y FROM c JOIN m ON c.key = m.key)
+    SELECT key, CAST(n AS BIGINT) AS n, round(3 / (.1 + stddev_pop(y)) + 4 * avg(y) * pow(n, .333), 6) AS score FROM y GROUP BY key, n HAVING 3 / (.1 + stddev_pop(y)) + 4 * avg(y) * pow(n, .333) > 30""")
+def _view_score(s, d):
+    c = _t(s, d, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.count("*").alias("count"))
+    return aggregate.view_scores(c, "user_id", cutoff=30.0).select("key", "n", F.round("score", 6).alias("score"))
+
+
+@_query("top_terms", f"SELECT word, count(*) AS n FROM (SELECT unnest(string_split({_CLEAN}, ' ')) AS word FROM documents) GROUP BY word ORDER BY n DESC, word LIMIT 100")
+def _top_terms(s, d):
+    return aggregate.top_words(_t(s, d, "documents"))
+
+
+@_query("doc_word_counts", f"SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest(string_split({_CLEAN}, ' ')) AS word FROM documents) GROUP BY ALL")
+def _doc_word_counts(s, d):
+    return aggregate.doc_word_counts(_t(s, d, "documents"))
+
+
+@_query("char_freq", "SELECT c, count(*) AS n FROM (SELECT unnest(string_split(text, '')) AS c FROM documents) WHERE c <> '' GROUP BY c")
+def _char_freq(s, d):
+    return aggregate.char_counts(_t(s, d, "documents"))
+
+
+@_query("rare_chars", "WITH f AS (SELECT c, count(*) AS n FROM (SELECT unnest(string_split(text, '')) AS c FROM documents) WHERE c <> '' GROUP BY c) SELECT c, n FROM f WHERE n / (SELECT sum(n) FROM f) < 0.0005 AND NOT contains('XYZ', c)")
+def _rare_chars(s, d):
+    return aggregate.rare_chars(_t(s, d, "documents"), share=5e-4, good="XYZ")
+
+
+@_query("corpus_totals", "SELECT lang, source, count(*) AS n_docs, CAST(sum(length(text)) AS BIGINT) AS n_chars, CAST(sum(len(string_split(text, ' '))) AS BIGINT) AS n_words FROM documents GROUP BY ALL")
+def _corpus_totals(s, d):
+    return aggregate.corpus_totals(_t(s, d, "documents"), "lang", "source")
+
+
+@_query("bigrams", "SELECT first, second, count(*) AS n FROM (SELECT doc_id, w AS first, lead(w) OVER (PARTITION BY doc_id ORDER BY i) AS second FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) AS i FROM documents)) WHERE second IS NOT NULL GROUP BY ALL HAVING count(*) > 2")
+def _bigrams(s, d):
+    x = _t(s, d, "documents").select(F.split("text", " ").alias("tokens"))
+    return aggregate.pair_counts(x).where("n > 2")
+
+
+@_query("weighted_pairs", "WITH w AS (SELECT w, count(*) AS f FROM (SELECT unnest(string_split(text, ' ')) AS w FROM documents) WHERE w <> '' GROUP BY w), p AS (SELECT w, f, unnest(string_split(w || ' ', '')) AS c, generate_subscripts(string_split(w || ' ', ''), 1) AS i FROM w) SELECT first, second, CAST(sum(f) AS BIGINT) AS n FROM (SELECT f, c AS first, lead(c) OVER (PARTITION BY w ORDER BY i) AS second FROM p) WHERE second IS NOT NULL GROUP BY ALL")
+def _weighted_pairs(s, d):
+    w = tokens.word_frequencies(_t(s, d, "documents"))
+    x = w.select("n", F.filter(F.split("word", ""), lambda c: c != "").alias("tokens"))
+    return aggregate.pair_counts(x, weight="n")
+
+
+@_query("best_pair", "WITH w AS (SELECT w, count(*) AS f FROM (SELECT unnest(string_split(text, ' ')) AS w FROM documents) WHERE w <> '' GROUP BY w), p AS (SELECT w, f, unnest(string_split(w || ' ', '')) AS c, generate_subscripts(string_split(w || ' ', ''), 1) AS i FROM w) SELECT first, second, CAST(sum(f) AS BIGINT) AS n FROM (SELECT f, c AS first, lead(c) OVER (PARTITION BY w ORDER BY i) AS second FROM p) WHERE second IS NOT NULL GROUP BY ALL ORDER BY n DESC, first, second LIMIT 1")
+def _best_pair(s, d):
+    return relational.argmax(_weighted_pairs(s, d), "n", "first", "second")
+
+
+@_query("term_search", f"SELECT CAST(sum({_cnt('lower(text)', _q('llm'))}) AS BIGINT) AS n FROM documents")
+def _term_search(s, d):
+    return aggregate.term_count(_t(s, d, "documents"), "llm")
+
+
+@_query("block_means", "WITH x AS (SELECT row_number() OVER (ORDER BY event_id) - 1 AS i, value AS v, count(*) OVER () AS n FROM events) SELECT CAST((i - (n - 50 * (n // 50))) // (n // 50) AS BIGINT) AS block, round(avg(v), 6) AS mean FROM x WHERE i >= n - 50 * (n // 50) GROUP BY 1")
+def _block_means(s, d):
+    x = aggregate.running_shards(_t(s, d, "events").select("event_id", "value", F.lit(1).alias("one")), "one", "event_id", 1)
+    return aggregate.block_means(x, 50, "shard", "value").select("block", F.round("mean", 6).alias("mean"))
+
+
+@_query("kept_totals", "SELECT count(*) AS n, count(*) FILTER (lang = 'en') AS english, count(*) FILTER (lang = 'en' AND n_chars > 2500) AS used FROM documents")
+def _kept_totals(s, d):
+    en = F.col("lang") == "en"
+    return aggregate.kept_totals(_t(s, d, "documents"), english=en, used=en & (F.col("n_chars") > 2500))
+
+
+# ------------------------------------------------------------------ dedup, joins, sampling
+
+
+@_query("exact_dedup", "SELECT min(doc_id) AS doc_id, md5(substr(text, 1, 4096)) AS doc_key FROM documents GROUP BY 2")
+def _exact_dedup(s, d):
+    return dedup.dedup_prefix(_t(s, d, "documents").select("doc_id", "text")).select("doc_id", metrics.doc_id("text").alias("doc_key"))
+
+
+@_query("cleaned_dedup", f"SELECT min(doc_id) AS doc_id, md5({_CLEAN}) AS h FROM documents WHERE length(substr(text, 1, 5000)) >= 500 AND {_cnt('lower(substr(text, 1, 5000))', _q('font'))} <= 50 AND 7 * {_cnt('lower(substr(text, 1, 5000))', _q('[music]'))} / length(substr(text, 1, 5000)) <= 0.1 AND 10 * {_cnt('lower(substr(text, 1, 5000))', _q('[applause]'))} / length(substr(text, 1, 5000)) <= 0.1 GROUP BY 2")
+def _cleaned_dedup(s, d):
+    x = dedup.dedup_cleaned(_t(s, d, "documents").select("doc_id", "text"), tx.simhash_clean("text"))
+    return x.select("doc_id", F.md5(tx.simhash_clean("text")).alias("h"))
+
+
+@_query("url_dedup", "SELECT min(page_id) AS page_id FROM (SELECT page_id, lower(split_part(url, '?', 1)) AS u FROM pages) GROUP BY u")
+def _url_dedup(s, d):
+    x = _t(s, d, "pages").select("page_id", F.substring_index("url", "?", 1).alias("url"))
+    return dedup.dedup_urls(x).select("page_id")
+
+
+@_query("point_lookup", "SELECT doc_id FROM documents WHERE md5(substr(text, 1, 4096)) = (SELECT md5(substr(text, 1, 4096)) FROM documents WHERE doc_id = 7)")
+def _point_lookup(s, d):
+    docs = _t(s, d, "documents").select("doc_id", "text")
+    key = docs.where("doc_id = 7").select(metrics.doc_id("text").alias("k"))
+    return docs.join(F.broadcast(key), metrics.doc_id("text") == F.col("k")).select("doc_id")  # one row is broadcast
+
+
+_BITS = "".join(f", CASE WHEN sum(CASE WHEN h[{i}] = '1' THEN 1 ELSE -1 END * n * ln(n)) > 1e-7 THEN '1' ELSE '0' END AS b{i}" for i in range(64, 0, -1))
+
+
+@_query(
+    "simhash",
+    f"""WITH w AS (SELECT doc_id, unnest(string_split({_CLEAN}, ' ')) AS w FROM documents),
+    c AS (SELECT doc_id, w, count(*) AS n FROM w WHERE NOT list_contains({_list(phrases('stopwords'))}, w) GROUP BY ALL),
+    h AS (SELECT doc_id, n, string_split(lpad(bin(('0x' || substr(md5(w), 1, 16))::UBIGINT), 64, '0'), '') AS h FROM c),
+    s AS (SELECT doc_id{_BITS} FROM h GROUP BY doc_id)
+    SELECT d.doc_id, {' || '.join(f'b{i}' for i in range(64, 0, -1))} AS simhash FROM documents d LEFT JOIN s ON d.doc_id = s.doc_id""",
+)
+def _simhash(s, d):
+    return dedup.simhash_bits(_t(s, d, "documents"))
+
+
+@_query("simhash_pairs")
+def _simhash_pairs(s, d):
+    return dedup.simhash_pairs(dedup.simhash_bits(_t(s, d, "documents")))
+
+
+@_query("todo_anti", "SELECT page_id FROM pages WHERE page_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'en')")
+def _todo_anti(s, d):
+    done = _t(s, d, "documents").where("lang = 'en'").select(F.col("doc_id").alias("page_id"))
+    return relational.not_done(_t(s, d, "pages").select("page_id"), done, "page_id")
+
+
+@_query("known_semi", "SELECT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
+def _known_semi(s, d):
+    return relational.only_known(_t(s, d, "documents").select("doc_id"), _t(s, d, "labels"), "doc_id")
+
+
+@_query("url_union", "SELECT split_part(url, '?', 1) AS url FROM pages UNION SELECT url FROM pages")
+def _url_union(s, d):
+    p = _t(s, d, "pages")
+    return relational.url_union([p.select(F.substring_index("url", "?", 1).alias("url")), p])
+
+
+@_query("prompt_pairs", "SELECT u.conv_id, u.turn, u.text AS prompt, a.text AS response FROM conversations u JOIN conversations a ON u.conv_id = a.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant'")
+def _prompt_pairs(s, d):
+    return relational.prompt_pairs(_t(s, d, "conversations"))
+
+
+@_query("prompt_cross", "SELECT u.conv_id, u.prompt, a.completion FROM (SELECT conv_id, substr(text, 1, 20) AS prompt FROM conversations WHERE role = 'user') u JOIN (SELECT conv_id, substr(text, 1, 20) AS completion FROM conversations WHERE role = 'assistant') a ON u.conv_id = a.conv_id")
+def _prompt_cross(s, d):
+    part = lambda r: F.collect_list(F.when(F.col("role") == r, F.substring("text", 1, 20)))
+    x = _t(s, d, "conversations").groupBy("conv_id").agg(part("user").alias("prompts"), part("assistant").alias("completions"))  # a row is one conversation, as in its file
+    return extract.expand_prompts(x)
+
+
+@_query("view_join", "WITH s AS (SELECT 'k' || user_id AS key, count(*) AS score FROM events GROUP BY 1) SELECT d.doc_id, s.key, CAST(s.score AS BIGINT) AS score FROM documents d JOIN s ON s.key = translate(lower('K _' || (d.doc_id % 200)), ' _', '') WHERE s.score > 30")
+def _view_join(s, d):
+    scores = _t(s, d, "events").groupBy(F.concat(F.lit("k"), F.col("user_id").cast("string")).alias("key")).agg(F.count("*").alias("score"))
+    pages = _t(s, d, "documents").select("doc_id", F.concat(F.lit("K _"), (F.col("doc_id") % 200).cast("string")).alias("title"))
+    return relational.with_scores(pages, scores).select("doc_id", "key", "score")
+
+
+@_query("question_answers", "SELECT q.conv_id * 100 + q.turn AS id, q.text AS question, CAST(count(a.turn) AS BIGINT) AS n_answers, coalesce(string_agg(a.text, '|' ORDER BY a.turn), '') AS answers FROM conversations q LEFT JOIN conversations a ON a.conv_id = q.conv_id AND a.role <> 'user' AND a.turn = q.turn + 1 WHERE q.role = 'user' GROUP BY q.conv_id, q.turn, q.text")
+def _question_answers(s, d):
+    t = _t(s, d, "conversations")
+    posts = t.select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), F.when(F.col("role") != "user", F.col("conv_id") * 100 + F.col("turn") - 1).alias("parent"), F.when(F.col("role") == "user", "Question").otherwise("Answer").alias("kind"), F.col("text").alias("body"))
+    x = aggregate.answers_of(posts)
+    return x.select("id", "question", F.size("answers").cast("long").alias("n_answers"), F.array_join(F.map_values("answers"), "|").alias("answers"))
+
+
+@_query("link_graph", "WITH RECURSIVE e AS (SELECT n_nationkey AS src, (n_nationkey * 7 + 3) % 25 AS dst FROM nation UNION SELECT n_nationkey, (n_nationkey + 5) % 25 FROM nation), r(node, depth) AS (SELECT 0, 0 UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.node WHERE r.depth < 3) SELECT CAST(node AS BIGINT) AS node, CAST(min(depth) AS INTEGER) AS depth FROM r GROUP BY node")
+def _link_graph(s, d):
+    n = _t(s, d, "nation").select(F.col("n_nationkey").cast("long").alias("src"))
+    e = n.select("src", ((F.col("src") * 7 + 3) % 25).alias("dst")).unionByName(n.select("src", ((F.col("src") + 5) % 25).alias("dst")))
+    return relational.reachable(e, s.range(1).select(F.col("id").alias("node")), 3)
+
+
+@_query("hash_sample", f"SELECT doc_id, {_BUCKET} AS bucket FROM documents WHERE {_BUCKET} < 500")
+def _hash_sample(s, d):
+    return relational.sample(_t(s, d, "documents"), "doc_id", 0.05).select("doc_id", bucket("doc_id").alias("bucket"))
+
+
+@_query("split_ranked", "SELECT doc_id, CAST(r AS BIGINT) AS rank, CASE WHEN r < floor(n * 0.9) THEN 'train' ELSE 'eval' END AS part FROM (SELECT doc_id, row_number() OVER (ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) - 1 AS r, count(*) OVER () AS n FROM documents)")
+def _split_ranked(s, d):
+    return relational.split(_t(s, d, "documents").select("doc_id"), "doc_id")
+
+
+@_query("file_fraction", "SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) - 1 AS r, count(*) OVER () AS n FROM documents) WHERE r < floor(n * 0.25)")
+def _file_fraction(s, d):
+    return relational.fraction(_t(s, d, "documents").select("doc_id"), "doc_id", 0.25)
+
+
+@_query("running_shards", "SELECT doc_id, CAST(b AS BIGINT) AS before, CAST(b // 100000 AS BIGINT) AS shard FROM (SELECT doc_id, coalesce(sum(strlen(text)) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM documents)")
+def _running_shards(s, d):
+    x = _t(s, d, "documents").select("doc_id", F.octet_length("text").cast("long").alias("n"))
+    return aggregate.running_shards(x, "n", "doc_id", 100_000).select("doc_id", "before", "shard")
+
+
+@_query("first_shards", "SELECT source, n_tokens, CAST(before AS BIGINT) AS before FROM (SELECT source, n_tokens, coalesce(sum(n_tokens) OVER (ORDER BY CAST(substr(source, 4) AS INTEGER) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM (SELECT source, CAST(sum(n_chars) AS BIGINT) AS n_tokens FROM documents GROUP BY source)) WHERE before <= 500000")
+def _first_shards(s, d):
+    x = _t(s, d, "documents").groupBy("source").agg(F.sum("n_chars").alias("n_tokens")).withColumn("shard", F.substring("source", 4, 9).cast("int"))
+    return tokens.first_shards(x, 500_000).select("source", "n_tokens", "before")
+
+
+# ------------------------------------------------------------------ tokens
+
+
+@_query("fixed_chunks", "SELECT doc_id, CAST(i AS INTEGER) AS chunk, array_to_string(w[i * 64 + 1:(i + 1) * 64], ' ') AS text FROM (SELECT doc_id, w, unnest(range((len(w) - 1) // 64)) AS i FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents))")
+def _fixed_chunks(s, d):
+    x = _t(s, d, "documents").select("doc_id", F.posexplode(tokens.chunks(F.split("text", " "), 64)).alias("chunk", "c"))
+    return x.select("doc_id", "chunk", F.array_join("c", " ").alias("text"))
+
+
+@_query("random_windows", "SELECT doc_id, CAST(start AS INTEGER) AS start, array_to_string(w[start + 1:start + 32], ' ') AS input_text, array_to_string(w[start + 2:start + 33], ' ') AS target_text FROM (SELECT doc_id, w, ('0x' || substr(md5('0:' || doc_id || ':' || i), 1, 8))::BIGINT % (len(w) - 33) AS start FROM (SELECT doc_id, w, unnest([1, 2, 3]) AS i FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents) WHERE len(w) > 33))")
+def _random_windows(s, d):
+    x = _t(s, d, "documents").select("doc_id", F.split("text", " ").alias("tokens"))
+    w = tokens.windows(x, 32, 3)
+    return w.select("doc_id", "start", F.array_join("input_ids", " ").alias("input_text"), F.array_join("target_ids", " ").alias("target_text"))
+
+
+@_query("dataset_length", "SELECT source, CAST(sum(len(string_split(text, ' '))) // 128 AS BIGINT) AS n FROM documents GROUP BY source")
+def _dataset_length(s, d):
+    x = _t(s, d, "documents").groupBy("source").agg(F.sum(words("text")).alias("w"))
+    return x.select("source", tokens.n_windows("w", 128).alias("n"))
+
+
+@_query("bpe_encode")
+def _bpe_encode(s, d):
+    docs = _t(s, d, "documents").select("doc_id", "text")
+    return tokens.encode(docs, tokens.train_bpe(docs, 256)).select("doc_id", F.size("tokens").cast("long").alias("n_tokens"), tokens.uint16("tokens").alias("tokens"))
+
+
+@_query("normalize_spelling")
+def _normalize_spelling(s, d):
+    x = _inject(_t(s, d, "documents"), ["Colour", "grey—area", "ANALYSE"])
+    return x.select("doc_id", tx.normalize_text(F.col("text")).alias("text"), tx.correct_by_dict(F.col("text")).alias("corrected"))
+
+
+@_query("normalize_punctuation")
+def _normalize_punctuation(s, d):
+    return _t(s, d, "documents").select("doc_id", tx.normalize_punctuation("text").alias("text"))
+
+
+@_query("code_filters")
+def _code_filters(s, d):
+    lines = F.concat(F.lit('"""Doc."""\nimport '), F.get(F.array(*[F.lit(x) for x in ("numpy", "ctypes", "json", "torch.nn")]), (F.col("doc_id") % 4).cast("int")), F.repeat(F.lit("\n# note\nx = 1"), (F.col("doc_id") % 40).cast("int")))
+    x = _t(s, d, "documents").select("doc_id", lines.alias("content"), F.concat("source", F.lit(".py")).alias("path"))
+    return x.select("doc_id", code.clean_code("content").alias("clean"), code.good_libraries("content").alias("good"), code.code_file("path", "content").alias("sized"), code.ml_code("content").alias("ml"))
+
 
-def _web_gate_totals(spark, d):
-    docs = spark.read.parquet(f"{d}/documents.parquet")
-    return (
-        docs.where((F.col("lang") == "en") & (F.col("n_chars") > 2500))
-        .groupBy("source")
-        .agg(F.count("*").alias("n_docs"), F.sum(F.length("text")).alias("n_chars"), F.sum(F.size(F.split("text", " "))).alias("n_words"))
-    )
+@_query("learned_quality")
+def _learned_quality(s, d):
+    return pipelines.learned_quality(_t(s, d, "documents"), _t(s, d, "labels")).select("doc_id", F.round("score", 6).alias("score"))
 
 
-QUERIES = {"web_gate_totals": _web_gate_totals}
-ORACLES = {
-    "web_gate_totals": """SELECT source, count(*) AS n_docs, CAST(sum(length(text)) AS BIGINT) AS n_chars,
-        CAST(sum(len(string_split(text, ' '))) AS BIGINT) AS n_words
-        FROM documents WHERE lang = 'en' AND n_chars > 2500 GROUP BY source""",
-}
+@_query("training_text")
+def _training_text(s, d):
+    return pipelines.training_text(_inject(_t(s, d, "documents"), phrases("topics")[:50])).select("doc_id", "text")
