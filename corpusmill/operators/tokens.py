@@ -142,3 +142,35 @@ def first_shards(shards: DataFrame, most: int, order: str = "shard", size: str =
 def uint16(tokens) -> Column:
     """Ids below 65,536 as they would be stored in two unsigned bytes."""
     return F.transform(col(tokens), lambda x: x.bitwiseAND(0xFFFF))
+
+
+def train_bpe_whole(docs: DataFrame, n_merges: int, text: str = "text", every: int = 8) -> list[tuple[str, str]]:
+    """Merges over whole texts, spaces included: each step counts all adjacent pairs, takes the most frequent and merges it everywhere.
+
+    The corpus stays distributed; one pair a step reaches the driver. The lineage is cut by a
+    checkpoint every few steps.
+    """
+    from corpusmill.operators.aggregate import pair_counts
+
+    x, merges = docs.select(F.filter(F.split(text, ""), lambda c: c != "").alias("tokens")), []
+    for step in range(n_merges):
+        best = pair_counts(x).orderBy(F.desc("n"), "first", "second").first()
+        if best is None:
+            break
+        merges.append((best["first"], best["second"]))
+        x = x.select(merge_pass("tokens", *merges[-1]).alias("tokens"))
+        if step % every == every - 1:
+            x = x.checkpoint()
+    return merges
+
+
+def batches(windows_df: DataFrame, size: int) -> Iterator[list]:
+    """Rows in lists of `size` for a trainer; Spark fetches the next partition meanwhile."""
+    out: list = []
+    for row in windows_df.toLocalIterator(prefetchPartitions=True):
+        out.append(row)
+        if len(out) == size:
+            yield out
+            out = []
+    if out:
+        yield out

@@ -151,3 +151,21 @@ def test_wiki_by_views(spark):
 def test_reachable(spark, depth, nodes):
     e = spark.createDataFrame([(0, 1), (1, 2), (2, 3), (3, 0)], "src long, dst long")
     assert relational.reachable(e, spark.createDataFrame([(0,)], "node long"), depth).count() == nodes
+
+
+def test_registered_functions(spark):
+    from corpusmill.functions.register import register_all
+
+    register_all(spark)
+    r = spark.sql("SELECT normalize_text('Colour'), nfkc('ﬁ'), is_clean_code('import ctypes'), uses_good_libraries('import numpy'), count_of('aXbX', 'X')").first()
+    assert tuple(r) == ("Color", "fi", False, True, 2)
+    q = "What is this thing?\n\n" + "It is one thing of many that are here. And it is more.\n" * 3
+    df = spark.createDataFrame([(q,)], "t string")
+    df.createOrReplaceTempView("qa_texts")
+    assert spark.sql("SELECT prompt FROM qa_texts, LATERAL question_answers(t)").first()[0] == "What is this thing?"
+
+
+def test_whole_corpus_merges_and_batches(spark):
+    df = spark.createDataFrame([("abab abab",), ("xab",)], "text string")
+    assert tokens.train_bpe_whole(df, 2) == [("a", "b"), ("ab", "ab")]
+    assert [len(b) for b in tokens.batches(spark.range(5).repartition(2), 2)] == [2, 2, 1]
