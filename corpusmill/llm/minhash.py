@@ -12,8 +12,9 @@ the full shingle sets, in integers. Documents with equal sets form one class fir
 one document of a class is looked at further.
 
 No bucket is expanded into all its pairs: every member meets its bucket's smallest and largest
-member; linked documents join one component; and only members of buckets that still hold
-several components meet across components. Pairs inside a component change nothing.
+member, and linked documents join one component. In buckets that still hold several components,
+members meet across components on what sets them apart from a pivot (_differences says why
+that misses no link). Pairs inside a component change nothing.
 
 Defined results: null and blank texts have no shingles and are linked with nothing; fewer words
 than k make one shingle; repeated rows and equal texts are one class; a null doc_id takes its
@@ -131,6 +132,76 @@ def verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     return p.select("a", "b", "x", "y").mapInArrow(_links(num, den), "a long, b long")
 
 
+def _differences(num: int, den: int):
+    """For members and their cluster's pivot: the elements of which two linked members must share one.
+
+    Let D(x) be the symmetric difference of x and the pivot P, t = num / den. Sets x, y with
+    similarity t or more differ in at most T = (1 - t) / t * min(|x|, |y|) elements, so they share
+    (|D(x)| + |D(y)| - T) / 2 elements of their differences, and |D(y)| >= |D(x)| - T. If y is not
+    linked to P, |D(y)| exceeds (1 - t) * |y or P|, and sharing none would link y to P. So at least
+    one element is always shared, and by the prefix principle one among the first
+    |D| - required + 1 in an order common to all: elements that P lacks come first, as they are rare.
+    """
+    t = num / den
+
+    def run(batches):
+        for b in batches:
+            cols = {k: [] for k in ("pivot", "id", "c", "own", "e", "linked", "at", "d", "n")}
+            for i in range(len(b)):
+                x, p = np.frombuffer(b.column("x")[i].as_buffer(), U64), np.frombuffer(b.column("y")[i].as_buffer(), U64)
+                here = p[np.minimum(np.searchsorted(p, x), len(p) - 1)] == x
+                new, lost = x[~here], p[np.isin(p, x[here], assume_unique=True, invert=True)]
+                both = len(x) - len(new)
+                d = len(new) + len(lost)
+                linked = den * both >= num * (len(x) + len(p) - both)
+                inside = linked or bool(b.column("inside")[i].as_py())
+                slack = (1 - t) / t * len(x)
+                need = max(1.0, d - slack)
+                if inside:
+                    need = max(need, (d + max((1 - t) * max(len(p), t * len(x)), d - slack) - slack) / 2)
+                e = np.concatenate([new, lost])[: max(0, d - int(np.ceil(need - 1e-6)) + 1)]
+                e = e if len(e) or not linked else np.zeros(1, U64)
+                for k, v in (("pivot", b.column("pivot")[i].as_py()), ("id", b.column("id")[i].as_py()), ("c", b.column("c")[i].as_py()), ("own", b.column("own")[i].as_py()), ("linked", linked), ("d", d), ("n", len(x))):
+                    cols[k].append(np.full(len(e), v))
+                cols["e"].append(e.view(np.int64))
+                cols["at"].append(np.arange(len(e)))
+            if cols["e"]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(cols[k])) for k in cols], list(cols))
+
+    return run
+
+
+def _across(left: DataFrame, sets: DataFrame, tested: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) between members (lo, id, c) of different components c within clusters of buckets.
+
+    A cluster is a component of shared buckets; its pivot is its most frequent bucket minimum.
+    Members meet only on elements of their differences from the pivot (see _differences), so a
+    large group of copies and the documents at its fringe are not compared pair by pair.
+    """
+    edges = left.select(F.col("lo").alias("a"), F.col("id").alias("b"))
+    cluster = materialize(connected_components(edges))
+    m = left.join(cluster, "id").select("lo", "id", "c", F.col("component").alias("cluster"))
+    pivot = m.groupBy("cluster", "lo").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.max_by("lo", F.struct("n", "lo")).alias("pivot"))
+    own = left.select(F.col("id").alias("pivot"), F.col("c").alias("own")).distinct()
+    pivot = pivot.join(own, "pivot")
+    m = m.select("cluster", "id", "c").distinct().join(pivot, "cluster").where("id <> pivot")
+    m = m.join(sets.select("id", F.col("shingles").alias("x")), "id").join(sets.select(F.col("id").alias("pivot"), F.col("shingles").alias("y")), "pivot")
+    m = m.select("pivot", "id", "c", "own", (F.col("c") == F.col("own")).alias("inside"), "x", "y")
+    d = materialize(m.mapInArrow(_differences(num, den), "pivot long, id long, c long, own long, e long, linked boolean, at long, d long, n long"))
+    direct = d.where("linked and c <> own").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
+    # a pivot's own component, once what it links directly has joined it
+    d = d.select("pivot", "id", F.when(F.col("linked"), F.col("own")).otherwise(F.col("c")).alias("c"), "e", "at", "d", "n")
+    several = d.groupBy("pivot", "e").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("pivot", "e")
+    d = d.join(several, ["pivot", "e"])
+    two = lambda x: d.select("pivot", "e", F.col("id").alias(x), *[F.col(y).alias(f"{y}{x}") for y in ("c", "at", "d", "n")])
+    # if e is the first element that two linked members share, enough elements must follow it in both
+    slack = F.least("na", "nb") * ((den - num) / num)
+    enough = 1e-6 + 2 * F.least(F.col("da") - F.col("ata"), F.col("db") - F.col("atb")) >= F.col("da") + F.col("db") - slack
+    pairs = two("a").join(two("b"), ["pivot", "e"]).where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & enough).select("a", "b").distinct()
+    pairs = pairs.join(tested, ["a", "b"], "left_anti")
+    return direct.unionByName(verify(pairs, sets, num, den))
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: documents linked where den * |A and B| >= num * |A or B|."""
     spark = docs.sparkSession
@@ -165,13 +236,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     sets = materialize(sets.select("id", "shingles", (F.octet_length("shingles") / 8).cast("long").alias("n")))
     links = materialize(verify(hubs, sets, num, den))
     comp = materialize(connected_components(links))
-    # buckets that still hold several components: their members meet across components
-    at = members.select("key", "id").join(comp, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
+    # buckets that still hold several components
+    at = members.select("key", "lo", "id").join(comp, "id", "left").select("key", "lo", "id", F.coalesce("component", "id").alias("c"))
     mixed = at.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("key")
-    left = at.join(mixed, "key")
-    cross = left.select("key", F.col("id").alias("a"), F.col("c").alias("ca")).join(left.select("key", F.col("id").alias("b"), F.col("c").alias("cb")), "key").where("a < b and ca <> cb").select("a", "b").distinct()
-    cross = cross.join(hubs, ["a", "b"], "left_anti")
-    more = materialize(verify(cross, sets, num, den))
+    left = materialize(at.join(mixed, "key").select("lo", "id", "c").distinct())
+    more = materialize(_across(left, sets, hubs, num, den))
     if more.isEmpty():
         final = comp
     else:
