@@ -20,5 +20,6 @@ QUERIES = {
 }
 ORACLES = {
     "op4_url_filter": urls.ORACLE_SQL,
+    "op9_minhash": minhash.ORACLE_SQL,
     "op10_chat_format": chat.ORACLE_SQL,
 }
