@@ -190,3 +190,25 @@ def test_cyclic_texts(docs_of, shift):
     got = substrings.repeated_passages(docs_of([" ".join(t), " ".join(t[shift:])])).collect()
     covered = {i for r in got for i in range(r["start_word"], r["end_word"])}
     assert len(covered) >= len(t) - shift - 10  # a cycle at an end has no counterpart at its shift
+
+
+@pytest.mark.parametrize("equal, other", [(60, 80), (200, 150)])
+def test_two_passages_around_other_text(docs_of, prose, equal, other):
+    p, q = prose(equal, 60, 4000), prose(equal, 61, 4000)
+    texts = [p + " " + prose(other, 62 + i, 4000) + " " + q for i in range(2)]
+    rows = sorted(substrings.repeated_passages(docs_of(texts)).collect(), key=lambda r: r["start_word"])
+    assert [(r["doc_id"], r["source_doc_id"], r["start_word"], r["end_word"]) for r in rows] == [(1, 0, 0, equal), (1, 0, equal + other, 2 * equal + other)]
+
+
+def test_parts_hold_every_like_run_of_a_chain():
+    r = np.random.default_rng(5)
+    for _ in range(60):
+        n = int(r.integers(2, 30))
+        p, q = np.cumsum(r.integers(1, 25, n)), np.cumsum(r.integers(1, 25, n))
+        m = np.cumsum(np.r_[0, np.minimum(np.diff(p), np.diff(q)).clip(0, 5)])
+        ok = lambda i, j: 5 + m[j] - m[i] >= 0.8 * max(p[j] - p[i] + 5, q[j] - q[i] + 5) - 1e-6
+        got = substrings.parts(m, p, q, 0.8)
+        held = {t for i, j in got for t in range(i, j + 1)}
+        assert all(ok(i, j) for i, j in got) and held == set(range(n))
+        far = [max(j for j in range(i, n) if ok(i, j)) for i in range(n)]
+        assert {j for _, j in got} <= set(far)
