@@ -212,3 +212,37 @@ def test_parts_hold_every_like_run_of_a_chain():
         assert all(ok(i, j) for i, j in got) and held == set(range(n))
         far = [max(j for j in range(i, n) if ok(i, j)) for i in range(n)]
         assert {j for _, j in got} <= set(far)
+
+
+def test_passage_whose_seeds_are_in_several_lower_documents(docs_of, prose):
+    p = prose(60, 70, 4000).split()
+    fill = lambda i, n=70: prose(n, 71 + i, 4000).split()
+    texts = [" ".join(x) for x in (fill(0) + p[:30] + fill(1), fill(2) + p[27:] + fill(3), fill(4) + p + fill(5), p + fill(6), fill(7, 60) + p)]
+    rows = sorted(tuple(r)[:6] for r in substrings.repeated_passages(docs_of(texts)).collect())
+    assert rows == [(3, 0, 60, 2, 70, 130), (4, 60, 120, 2, 70, 130)]
+
+
+def test_every_window_of_a_lower_document_is_covered(docs_of, prose):
+    """Against brute force, on documents pasted together from a few passages and common phrases."""
+    r = random.Random(8)
+    pool = [prose(r.randint(12, 90), 200 + i, 3000).split() for i in range(14)]
+    texts = []
+    for i in range(24):
+        w = prose(12, 300 + i, 3000).split()
+        for _ in range(5):
+            x = r.choice(pool)
+            a = r.randint(0, len(x) // 3)
+            w += x[a : a + r.randint(10, 90)] + (prose(3, 400 + i, 3000).split() if r.random() < 0.5 else [])
+        texts.append(w)
+    covered = {i: set() for i in range(len(texts))}
+    for d in substrings.repeated_passages(docs_of([" ".join(t) for t in texts])).collect():
+        covered[d["doc_id"]].update(range(d["start_word"], d["end_word"]))
+    lower, shared = set(), 0
+    for i, t in enumerate(texts):
+        own = [tuple(t[j : j + 50]) for j in range(len(t) - 49)]
+        for j, x in enumerate(own):
+            if x in lower:
+                shared += 1
+                assert set(range(j, j + 50)) <= covered[i]
+        lower.update(own)
+    assert shared > 20
