@@ -246,3 +246,22 @@ def test_every_window_of_a_lower_document_is_covered(docs_of, prose):
                 assert set(range(j, j + 50)) <= covered[i]
         lower.update(own)
     assert shared > 20
+
+
+def test_benchmark_items_with_words_put_in_or_left_out(spark, docs_of, prose):
+    plain = prose(20, 80, 4000).split()
+    short = prose(18, 84, 4000).split()
+    item = "A train leaves Berlin at 9 with many people and goes fast to Berlin where it stays until noon"
+    texts = [
+        prose(30, 81) + " " + " ".join(plain[:10] + ["added"] + plain[10:]) + " " + prose(30, 82),
+        " ".join(plain[:10] + plain[11:]),
+        " ".join(short[:9] + ["added"] + short[9:]),
+        item.replace("Berlin", "New York").replace("9", "9 000"),
+        prose(200, 83),
+    ]
+    items = spark.createDataFrame([(1, " ".join(plain)), (2, item), (3, " ".join(short))], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"], r["kind"]): r for r in decontam.contaminated(docs_of(texts), items).collect()}
+    assert sorted(got) == [(0, 1, "plain"), (1, 1, "plain"), (2, 3, "plain"), (3, 2, "template")]
+    assert (got[0, 1, "plain"]["start_word"], got[0, 1, "plain"]["end_word"]) == (30, 51)
+    r = got[3, 2, "template"]
+    assert (r["start_word"], r["end_word"], r["coverage"], r["consistency"]) == (0, 22, 1.0, 1.0)
