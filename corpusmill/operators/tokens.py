@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,47 +19,51 @@ def word_frequencies(docs: DataFrame, text: str = "text", least: int = 1) -> Dat
     return docs.select(F.explode(F.split(text, " ")).alias("w")).where("w <> ''").groupBy(F.concat("w", F.lit(" ")).alias("word")).agg(F.count("*").alias("n")).where(F.col("n") >= least)
 
 
-def train_bpe(docs: DataFrame, size: int, text: str = "text", most_words: int = 200_000) -> list[tuple[str, str]]:
-    """Merges, most frequent pair first (ties: the smallest pair), until `size` tokens are known.
+def alphabet(docs: DataFrame, text: str = "text") -> list[str]:
+    """The distinct characters of the texts, sorted: at most as many as Unicode has."""
+    got = docs.select(F.explode(F.array_distinct(F.split(text, ""))).alias("c")).where("c <> ''").distinct().collect()
+    return sorted(r["c"] for r in got)
 
-    The corpus is folded to word counts in Spark; the merge loop runs on the driver over the
-    `most_words` most frequent words, a documented bound.
+
+def train_bpe(docs: DataFrame, size: int, text: str = "text") -> list[tuple[str, str]]:
+    """At most `size` merges, most frequent pair first (ties: the smallest pair).
+
+    The corpus is folded to the counts of all its words, which stay distributed; one pair a
+    step reaches the driver. A token is one code point that no text has, so that a merge is a
+    replacement in many words at once.
     """
-    rows = word_frequencies(docs, text).orderBy(F.desc("n"), "word").limit(most_words).collect()
-    words = [(list(r["word"]), r["n"]) for r in rows]
-    known = {c for w, _ in words for c in w}
-    pairs: Counter = Counter()
-    where: dict[tuple[str, str], set[int]] = {}
-    for i, (w, n) in enumerate(words):
-        for p in zip(w, w[1:]):
-            pairs[p] += n
-            where.setdefault(p, set()).add(i)
-    merges = []
-    while len(known) + len(merges) < size and pairs:
-        best = max(pairs.values())
-        if best < 1:
+    words = word_frequencies(docs, text).checkpoint()
+    chars = [*alphabet(words, "word")]
+    used = {*map(ord, chars)}
+    free = (c for c in range(1, 0x110000) if c not in used and not 0xD800 <= c < 0xE000)
+    gap = chr(next(free))
+    code, merges = {c: c for c in chars}, []
+    for _ in range(size):
+        known = {ord(v): k for k, v in code.items()}
+        todo = [(code[a] + code[b], code[a + b]) for a, b in merges]
+
+        def pairs(batches, known=known, todo=todo):
+            for b in batches:
+                joined = gap + gap.join(b.column("word").to_pylist()) + gap
+                for x, y in todo:
+                    joined = joined.replace(x, y)
+                x = np.frombuffer(joined.encode("utf-32-le"), "<u4").astype(np.int64)
+                word = np.cumsum(x == ord(gap)) - 1
+                ok = (x[:-1] != ord(gap)) & (x[1:] != ord(gap))
+                key, at = np.unique((x[:-1] << 21 | x[1:])[ok], return_inverse=True)
+                n = np.zeros(len(key), np.int64)
+                np.add.at(n, at, b.column("n").to_numpy()[word[:-1][ok]])
+                firsts, seconds = (key >> 21).tolist(), (key & 0x1FFFFF).tolist()
+                yield pa.RecordBatch.from_arrays([pa.array([known[i] for i in firsts], pa.string()), pa.array([known[i] for i in seconds], pa.string()), pa.array(n)], ["first", "second", "n"])
+
+        counts = words.mapInArrow(pairs, "first string, second string, n long").groupBy("first", "second").agg((-F.sum("n")).alias("n"))
+        best = counts.agg(F.min(F.struct("n", "first", "second")).alias("best")).first()["best"]
+        if best is None:
             break
-        pair = min(p for p, n in pairs.items() if n == best)
+        pair = best["first"], best["second"]
         merges.append(pair)
-        for i in where.pop(pair, set()):
-            w, n = words[i]
-            for p in zip(w, w[1:]):
-                pairs[p] -= n
-                if pairs[p] <= 0:
-                    del pairs[p]
-            out, j = [], 0
-            while j < len(w):
-                if tuple(w[j : j + 2]) == pair:
-                    out.append(w[j] + w[j + 1])
-                    j += 2
-                else:
-                    out.append(w[j])
-                    j += 1
-            words[i] = (out, n)
-            for p in zip(out, out[1:]):
-                pairs[p] += n
-                where.setdefault(p, set()).add(i)
-        pairs.pop(pair, None)
+        if "".join(pair) not in code:
+            code["".join(pair)] = chr(next(free))
     return merges
 
 
@@ -78,11 +84,11 @@ def merge_pass(tokens, first: str, second: str) -> Column:
 
 
 def encode(docs: DataFrame, merges: list[tuple[str, str]], text: str = "text", end_id: int | None = None) -> DataFrame:
-    """docs plus tokens ARRAY<INT>, in Arrow batches; ids number the sorted characters, then the merges."""
+    """docs plus tokens ARRAY<INT>, in Arrow batches; ids number the sorted characters of the texts and merges, then the merges."""
+    chars = sorted({*alphabet(docs, text), " ", *(c for p in merges for t in p for c in t)})
 
     def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         rank = {p: i for i, p in enumerate(merges)}
-        chars = sorted({c for p in merges for t in p for c in t})
         number = {c: i for i, c in enumerate(chars)}
         for p in merges:
             number.setdefault(p[0] + p[1], len(number))
@@ -98,7 +104,7 @@ def encode(docs: DataFrame, merges: list[tuple[str, str]], text: str = "text", e
                         break
                     i = best[1]
                     x[i : i + 2] = [x[i] + x[i + 1]]
-                got = [number[t] for t in x if t in number]
+                got = [number[t] for t in x]
                 if len(cache) < 200_000:
                     cache[w] = got
             return got

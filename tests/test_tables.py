@@ -1,3 +1,5 @@
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -46,6 +48,40 @@ def test_bpe_round_trip(spark):
     assert m == ["ab", "ab"]
 
 
+def brute_bpe(texts, size):
+    words = Counter(w + " " for t in texts for w in t.split(" ") if w)
+    split, merges = {w: list(w) for w in words}, []
+    for _ in range(size):
+        pairs = Counter()
+        for w, x in split.items():
+            for p in zip(x, x[1:]):
+                pairs[p] += words[w]
+        if not pairs:
+            break
+        a, b = min(pairs, key=lambda p: (-pairs[p], p))
+        merges.append((a, b))
+        for w, x in split.items():
+            out = []
+            for t in x:
+                if out and out[-1] == a and t == b:
+                    out[-1] = a + b
+                else:
+                    out.append(t)
+            split[w] = out
+    return merges
+
+
+def test_bpe_of_a_large_alphabet_keeps_every_character(spark):
+    texts = ["".join(chr(0x4E00 + i) for i in range(300)) + " z", "abab aab abab \U0001F600\n\ue000 ababa", "aaaa aaa b b", ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    merges = tokens.train_bpe(df, 12)
+    assert len(merges) == 12 and merges == brute_bpe(texts, 12)
+    names = sorted({c for t in texts for c in t} | {" "})
+    names += dict.fromkeys(a + b for a, b in merges if a + b not in names)
+    for r in tokens.encode(df, merges).collect():
+        assert "".join(names[i] for i in r["tokens"]) == "".join(w + " " for w in r["text"].split(" ") if w)
+
+
 def test_ranked_split_does_not_depend_on_partitions(spark):
     a = relational.split(spark.range(100).withColumnRenamed("id", "doc_id").repartition(1), "doc_id")
     b = relational.split(spark.range(100).withColumnRenamed("id", "doc_id").repartition(8), "doc_id")
