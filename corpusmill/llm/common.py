@@ -6,13 +6,14 @@ whole documents, so that memory is bounded by the longest document and not by a
 
 from __future__ import annotations
 
+import ctypes
 import os
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel  # noqa: F401  (re-exported for callers that persist)
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,7 +22,7 @@ SPACE = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[list(SPACE)] = True
 #: Bytes of text that are worked on at once (a longer document is its own slice).
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 
 U64 = np.uint64
 
@@ -31,10 +32,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where that is unset, a folder below the warehouse in local mode; on a cluster that is an
+    error, as no folder of one machine would do.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = "file:///tmp/checkpoints/corpusmill"
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
     return f"{root.rstrip('/')}/corpusmill"
 
 
@@ -59,6 +66,24 @@ def drop_table(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def lean(run):
+    """run (a function of record batches), giving memory back to the system when its partition ends.
+
+    A Python worker lives on between tasks; without this it would keep the most that it ever held.
+    """
+
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return task
+
+
 # ---------------------------------------------------------------- Arrow text buffers
 
 
@@ -109,18 +134,10 @@ def _table(seed: int) -> np.ndarray:
 _BYTES = _table(20260101)
 _LOWER = _BYTES.copy()
 _LOWER[65:91] = _BYTES[97:123]
-_P = 0x9E3779B97F4A7C15
-_PINV = pow(_P, -1, 2**64)
-_POWERS: dict[str, np.ndarray] = {"p": np.ones(1, U64), "i": np.ones(1, U64)}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS["p"]) < n:
-        for k, base in (("p", _P), ("i", _PINV)):
-            x = np.full(n, base, U64)
-            x[0] = 1
-            _POWERS[k] = np.cumprod(x, dtype=U64)
-    return _POWERS["p"], _POWERS["i"]
+_P = U64(0x9E3779B97F4A7C15)
+#: Words of more bytes are hashed one by one.
+_LONG = 32
+_TO_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -135,14 +152,23 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def word_hashes(data: np.ndarray, s: np.ndarray, t: np.ndarray, lower: bool = True) -> np.ndarray:
     """64-bit hashes of data[s:t], A-Z lower-cased if asked; equal words have equal hashes."""
+    size = t - s
+    h = np.zeros(len(s), U64)
     if not len(s):
-        return np.zeros(0, U64)
-    p, inv = _powers(len(data) + 1)
-    x = (_LOWER if lower else _BYTES)[data]
-    x *= p[: len(data)]
-    h = np.zeros(len(data) + 1, U64)
-    np.cumsum(x, out=h[1:])
-    return mix((h[t] - h[s]) * inv[s] + (t - s).astype(U64))
+        return h
+    table = _LOWER if lower else _BYTES
+    order = np.argsort(-size, kind="stable")
+    first, ordered = s[order], size[order]
+    x = np.zeros(len(s), U64)
+    for j in range(int(min(ordered[0], _LONG))):
+        n = int(np.searchsorted(-ordered, -j, "left"))  # words of more than j bytes come first
+        x[:n] *= _P
+        x[:n] += table[data[first[:n] + j]]
+    h[order] = mix(x * _P + ordered.astype(U64))
+    for i in order[: int(np.searchsorted(-ordered, -_LONG, "left"))].tolist():
+        raw = data[s[i] : t[i]].tobytes()
+        h[i] = xxhash.xxh64_intdigest(raw.translate(_TO_LOWER) if lower else raw)
+    return h
 
 
 _STEP = [U64(x) for x in _table(20260102)]
@@ -266,7 +292,7 @@ def bloom_of(keys: DataFrame, column: str, bits: int = 16) -> BlockedBloom:
             if f:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(f["i"])), pa.array(np.concatenate(f["m"]).view(np.int64))], ["i", "m"])
 
-    words = keys.mapInArrow(masks, "i long, m long").groupBy("i").agg(F.bit_or("m").alias("m"))
+    words = keys.mapInArrow(lean(masks), "i long, m long").groupBy("i").agg(F.bit_or("m").alias("m"))
     out = BlockedBloom(n_blocks)
     got = words.toPandas()
     if len(got):
@@ -277,6 +303,16 @@ def bloom_of(keys: DataFrame, column: str, bits: int = 16) -> BlockedBloom:
 # ---------------------------------------------------------------- connected components
 
 
+#: Parts into which the edges of one node are split where they meet its minimum.
+SALTS = 8
+
+
+def _with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """edges joined with the one row (u, m) of their u; the edges of a hub come in SALTS parts."""
+    parts = least.withColumn("_part", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+    return edges.withColumn("_part", F.pmod(F.hash("v"), F.lit(SALTS))).join(parts, ["u", "_part"]).drop("_part")
+
+
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(id, component) of every end of an edge (a, b); component is the smallest id that it reaches.
 
@@ -290,9 +326,9 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        large = _with_least(both, least).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
+        small = _with_least(large, least)
         small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         new = materialize(small)
         mark = new.agg(F.count("*"), F.sum(F.hash("u", "v").cast("decimal(38,0)"))).first()

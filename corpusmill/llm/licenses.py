@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import U64, mix, slices, table, text_buffer, word_bounds, word_hashes
+from corpusmill.llm.common import U64, lean, mix, slices, table, text_buffer, word_bounds, word_hashes
 
 SURE, ALIKE, LEAST_HITS = 0.6, 0.5, 2
 NONE = "none"
@@ -296,7 +296,7 @@ def _scan(batches):
 
 def license_scan(docs: DataFrame) -> DataFrame:
     """doc_id, and per licence paragraph its family, number, probability and likeness to a template."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scan, _OUT)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(_scan), _OUT)
 
 
 def op1_license_scan(spark, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import materialize, table
+from corpusmill.llm.common import lean, materialize, table
 from corpusmill.llm.tokens import Encoder, default_vocabulary
 
 SIZE, END = 2048, 1
@@ -90,7 +90,7 @@ def _pieces(path: str, size: int, end: int):
 
 def pack(docs: DataFrame, path: str, size: int = SIZE, end: int = END) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset: one row a piece."""
-    pieces = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_pieces(path, size, end), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+    pieces = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(_pieces(path, size, end)), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
     pieces = materialize(pieces)
     n = pieces.count()
     buckets = max(64, n // 50_000)
@@ -109,7 +109,7 @@ def pack(docs: DataFrame, path: str, size: int = SIZE, end: int = END) -> DataFr
             s, o = locate(placed, b.column("length").to_numpy(), b.column("rank").to_numpy())
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")), pa.array(s), pa.array(o)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
-    return ranked.mapInArrow(lookup, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return ranked.mapInArrow(lean(lookup), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
 def _before(a: str, b: str):

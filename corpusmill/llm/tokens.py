@@ -34,7 +34,7 @@ import tiktoken
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import table
+from corpusmill.llm.common import lean, table
 
 #: White space as the library's pattern sees it (Unicode White_Space).
 _S = r"\t-\r \x85\xa0  -     　"
@@ -194,7 +194,7 @@ def _count(path: str, stored: bool):
 
 def prefix_counts(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_bytes, n_tokens, counts ARRAY<INT>: counts[i] = tokens of the first i + 1 code points."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_count(path, True), "doc_id long, n_bytes long, n_tokens long, counts array<int>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(_count(path, True)), "doc_id long, n_bytes long, n_tokens long, counts array<int>")
 
 
 def tokens_before(counts: Column, chars: Column) -> Column:
@@ -211,7 +211,7 @@ def longest_within(counts: Column, budget: Column) -> Column:
 
 def token_counts(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit: the last of every text's prefix counts."""
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_count(path, False), "doc_id long, n_bytes long, n_tokens long")
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(_count(path, False)), "doc_id long, n_bytes long, n_tokens long")
     return out.withColumn("over_limit", F.col("n_tokens") > limit)
 
 

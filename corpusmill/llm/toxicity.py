@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import table
+from corpusmill.llm.common import lean, table
 
 POSITIVES, NEGATIVES, EXAMPLE_CHARS = 1024, 2048, 32_768
 K, EPS, BLOCK = 48, 0.05, 64
@@ -193,7 +193,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Data
                 got = [x.score(t or "") for t in text.slice(i, 512).to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, 512), pa.array([g[0] for g in got]), pa.array([g[1] for g in got], pa.list_(pa.int64()))], ["doc_id", "score", "evidence"])
 
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double, evidence array<long>")
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), "doc_id long, score double, evidence array<long>")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "evidence")
 
