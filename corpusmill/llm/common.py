@@ -309,7 +309,7 @@ SALTS = 8
 
 def _with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
     """edges joined with the one row (u, m) of their u; the edges of a hub come in SALTS parts."""
-    parts = least.withColumn("_part", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+    parts = least.withColumn("_part", F.explode(F.array(*[F.lit(i) for i in range(SALTS)]))).hint("merge")  # of no bounded size: never broadcast
     return edges.withColumn("_part", F.pmod(F.hash("v"), F.lit(SALTS))).join(parts, ["u", "_part"]).drop("_part")
 
 

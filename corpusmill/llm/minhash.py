@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import U64, bloom_of, connected_components, drop_table, materialize, mix, shingle_sets, slices, table, text_buffer
+from corpusmill.llm.common import U64, bloom_of, connected_components, drop_table, lean, materialize, mix, shingle_sets, slices, table, text_buffer
 
 BANDS, ROWS = 40, 5
 _FULL = U64(2**64 - 1)
@@ -129,84 +129,98 @@ def verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     p = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"), F.col("n").alias("na")), "a")
     p = p.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"), F.col("n").alias("nb")), "b")
     p = p.where(F.least("na", "nb") * den >= F.greatest("na", "nb") * num)
-    return p.select("a", "b", "x", "y").mapInArrow(_links(num, den), "a long, b long")
+    return p.select("a", "b", "x", "y").mapInArrow(lean(_links(num, den)), "a long, b long")
 
 
 def _differences(num: int, den: int):
-    """For members and their cluster's pivot: the elements of which two linked members must share one.
-
-    Let D(x) be the symmetric difference of x and the pivot P, t = num / den. Sets x, y with
-    similarity t or more differ in at most T = (1 - t) / t * min(|x|, |y|) elements, so they share
-    (|D(x)| + |D(y)| - T) / 2 elements of their differences, and |D(y)| >= |D(x)| - T. If y is not
-    linked to P, |D(y)| exceeds (1 - t) * |y or P|, and sharing none would link y to P. So at least
-    one element is always shared, and by the prefix principle one among the first
-    |D| - required + 1 in an order common to all: elements that P lacks come first, as they are rare.
-    """
-    t = num / den
+    """For members x and their cluster's pivot y: whether they are linked, and the elements of one of the two alone."""
 
     def run(batches):
         for b in batches:
-            cols = {k: [] for k in ("pivot", "id", "c", "own", "e", "linked", "at", "d", "n")}
+            linked, d, n, e = [], [], [], []
             for i in range(len(b)):
                 x, p = np.frombuffer(b.column("x")[i].as_buffer(), U64), np.frombuffer(b.column("y")[i].as_buffer(), U64)
                 here = p[np.minimum(np.searchsorted(p, x), len(p) - 1)] == x
-                new, lost = x[~here], p[np.isin(p, x[here], assume_unique=True, invert=True)]
-                both = len(x) - len(new)
-                d = len(new) + len(lost)
-                linked = den * both >= num * (len(x) + len(p) - both)
-                inside = linked or bool(b.column("inside")[i].as_py())
-                slack = (1 - t) / t * len(x)
-                need = max(1.0, d - slack)
-                if inside:
-                    need = max(need, (d + max((1 - t) * max(len(p), t * len(x)), d - slack) - slack) / 2)
-                e = np.concatenate([new, lost])[: max(0, d - int(np.ceil(need - 1e-6)) + 1)]
-                e = e if len(e) or not linked else np.zeros(1, U64)
-                for k, v in (("pivot", b.column("pivot")[i].as_py()), ("id", b.column("id")[i].as_py()), ("c", b.column("c")[i].as_py()), ("own", b.column("own")[i].as_py()), ("linked", linked), ("d", d), ("n", len(x))):
-                    cols[k].append(np.full(len(e), v))
-                cols["e"].append(e.view(np.int64))
-                cols["at"].append(np.arange(len(e)))
-            if cols["e"]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(cols[k])) for k in cols], list(cols))
+                own = np.concatenate([x[~here], p[np.isin(p, x[here], assume_unique=True, invert=True)]])
+                both = int(here.sum())
+                linked.append(den * both >= num * (len(x) + len(p) - both))
+                d.append(len(own))
+                n.append(len(x))
+                e.append(own.view(np.int64))
+            ends = np.r_[0, np.cumsum(d)].astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(e) if e else np.zeros(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("pivot", "id", "c", "own")), pa.array(linked, pa.bool_()), pa.array(d, pa.int64()), pa.array(n, pa.int64()), lists], ["pivot", "id", "c", "own", "linked", "d", "n", "e"])
 
     return run
 
 
-def _across(left: DataFrame, sets: DataFrame, tested: DataFrame, num: int, den: int) -> DataFrame:
-    """Links (a, b) between members (lo, id, c) of different components c within clusters of buckets.
+def _residual(d: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b, ca, cb) of members of different components c that can be linked, by their differences from a pivot.
+
+    d has pivot, id, c, own (the pivot's component), d (size of the difference), n (of the set) and e
+    (the difference). Let D(x) be the symmetric difference of x and the pivot P, t = num / den. Sets
+    x, y have similarity t or more if they differ in at most T = (1 - t) / (1 + t) * (|x| + |y|) elements,
+    so if they share need = (|D(x)| + |D(y)| - T) / 2 elements of their differences. If y is not linked to
+    P, |D(y)| exceeds (1 - t) * |y or P|, and sharing none would link y to P; so at least one is shared.
+
+    Only elements that members of several components have can be shared by a pair that matters. Let
+    s(x) be their number in D(x). As need <= min(s(x), s(y)), a member whose need exceeds what it or
+    any member of another component has is done. The others meet on elements in ascending order of
+    frequency: whatever element is the first that a linked pair shares, need - 1 more follow it in both.
+    """
+    ratio = (den - num) / (den + num)
+    x = d.select("pivot", "id", "c", "own", "d", "n", F.explode("e").alias("e"))
+    several = materialize(x.groupBy("pivot", "e").agg(F.count("*").alias("f"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("pivot", "e", "f"))
+    had = x.join(several, ["pivot", "e"]).groupBy("pivot", "id", "c", "own", "d", "n").agg(F.array_sort(F.collect_list(F.struct("f", "e"))).alias("e")).withColumn("s", F.size("e").cast("long"))
+    had = materialize(had)
+    out = F.col("c") != F.col("own")
+    gain = 2 * F.col("s") - F.col("d")
+    top = had.groupBy("pivot").agg(F.max(gain).alias("g_all"), F.max(F.when(out, gain)).alias("g_out"), F.min("d").alias("d_all"), F.min(F.when(out, F.col("d"))).alias("d_out"), F.max("n").alias("n_all"))
+    slack = ratio * (F.col("n") + F.least(F.col("n") * (den / num), F.col("n_all")))
+    had = had.join(top, "pivot").withColumns({"gain": F.when(out, F.col("g_all")).otherwise(F.col("g_out")), "least": F.when(out, F.col("d_all")).otherwise(F.col("d_out"))})
+    need = F.greatest(F.lit(1.0), (F.col("d") + F.col("least") - slack) / 2 - 1e-6)
+    had = had.withColumn("need", F.ceil(need)).where((F.col("d") <= slack + F.col("gain") + 1e-6) & (F.col("need") <= F.col("s")))
+    e = had.select("pivot", "id", "c", "d", "n", "s", F.posexplode(F.slice("e", F.lit(1), F.greatest(F.col("s") - F.col("need") + 1, F.lit(0)).cast("int"))).alias("at", "e"))
+    e = materialize(e.select("pivot", "id", "c", "d", "n", (F.col("s") - F.col("at")).alias("rest"), F.col("e.e").alias("e")))
+    mixed = e.groupBy("pivot", "e").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("pivot", "e")
+    e = e.join(mixed, ["pivot", "e"])
+    two = lambda y: e.select("pivot", "e", F.col("id").alias(y), *[F.col(z).alias(f"{z}{y}") for z in ("c", "rest", "d", "n")])
+    enough = 2 * F.least("resta", "restb") + 1e-6 >= F.col("da") + F.col("db") - ratio * (F.col("na") + F.col("nb"))
+    alike = F.least("na", "nb") * den >= F.greatest("na", "nb") * num
+    pairs = two("a").join(two("b"), ["pivot", "e"]).where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & enough & alike)
+    return pairs.select("a", "b", "ca", "cb").distinct()
+
+
+def _differing(left: DataFrame, sets: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """(links with pivots, members with their differences from the pivot) of the members (lo, id, c) of clusters of buckets.
 
     A cluster is a component of shared buckets; its pivot is its most frequent bucket minimum.
-    Members meet only on elements of their differences from the pivot (see _differences), so a
-    large group of copies and the documents at its fringe are not compared pair by pair.
     """
-    edges = left.select(F.col("lo").alias("a"), F.col("id").alias("b"))
-    cluster = materialize(connected_components(edges))
+    cluster = materialize(connected_components(left.select(F.col("lo").alias("a"), F.col("id").alias("b"))))
     m = left.join(cluster, "id").select("lo", "id", "c", F.col("component").alias("cluster"))
     pivot = m.groupBy("cluster", "lo").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.max_by("lo", F.struct("n", "lo")).alias("pivot"))
     own = left.select(F.col("id").alias("pivot"), F.col("c").alias("own")).distinct()
     pivot = pivot.join(own, "pivot")
     m = m.select("cluster", "id", "c").distinct().join(pivot, "cluster").where("id <> pivot")
     m = m.join(sets.select("id", F.col("shingles").alias("x")), "id").join(sets.select(F.col("id").alias("pivot"), F.col("shingles").alias("y")), "pivot")
-    m = m.select("pivot", "id", "c", "own", (F.col("c") == F.col("own")).alias("inside"), "x", "y")
-    d = materialize(m.mapInArrow(_differences(num, den), "pivot long, id long, c long, own long, e long, linked boolean, at long, d long, n long"))
+    d = materialize(m.select("pivot", "id", "c", "own", "x", "y").mapInArrow(lean(_differences(num, den)), "pivot long, id long, c long, own long, linked boolean, d long, n long, e array<long>"))
     direct = d.where("linked and c <> own").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-    # a pivot's own component, once what it links directly has joined it
-    d = d.select("pivot", "id", F.when(F.col("linked"), F.col("own")).otherwise(F.col("c")).alias("c"), "e", "at", "d", "n")
-    several = d.groupBy("pivot", "e").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("pivot", "e")
-    d = d.join(several, ["pivot", "e"])
-    two = lambda x: d.select("pivot", "e", F.col("id").alias(x), *[F.col(y).alias(f"{y}{x}") for y in ("c", "at", "d", "n")])
-    # if e is the first element that two linked members share, enough elements must follow it in both
-    slack = F.least("na", "nb") * ((den - num) / num)
-    enough = 1e-6 + 2 * F.least(F.col("da") - F.col("ata"), F.col("db") - F.col("atb")) >= F.col("da") + F.col("db") - slack
-    pairs = two("a").join(two("b"), ["pivot", "e"]).where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & enough).select("a", "b").distinct()
-    pairs = pairs.join(tested, ["a", "b"], "left_anti")
-    return direct.unionByName(verify(pairs, sets, num, den))
+    # what the pivot links directly has joined its component
+    return direct, d.withColumn("c", F.when(F.col("linked"), F.col("own")).otherwise(F.col("c")))
+
+
+def _across(left: DataFrame, sets: DataFrame, tested: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) between members (lo, id, c) of different components c within clusters of buckets; see _residual."""
+    direct, d = _differing(left, sets, num, den)
+    pairs = materialize(_residual(d, num, den).join(tested, ["a", "b"], "left_anti"))
+    return direct.unionByName(verify(pairs.select("a", "b"), sets, num, den))
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: documents linked where den * |A and B| >= num * |A or B|."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sk = materialize(docs.mapInArrow(_sketches(k, bands, rows), "doc_id long, n_shingles long, set_key binary, bands array<long>"))
+    sk = materialize(docs.mapInArrow(lean(_sketches(k, bands, rows)), "doc_id long, n_shingles long, set_key binary, bands array<long>"))
     reps = materialize(sk.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("id"), F.any_value("bands").alias("bands"), F.any_value("n_shingles").alias("n")))
     some = reps.where("id is not null")
     keys = some.select("id", F.explode("bands").alias("key"))
@@ -221,20 +235,29 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
             ok = flt.value.test(flat.view(U64))
             yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(owner[ok])), pa.array(flat[ok])], ["id", "key"])
 
-    members = materialize(some.select("id", "bands").mapInArrow(members_of, "id long, key long").join(shared, "key"))
-    hubs = members.select(F.col("lo").alias("a"), F.col("id").alias("b")).unionByName(members.select(F.col("id").alias("a"), F.col("hi").alias("b"))).where("a <> b").distinct()
-    hubs = materialize(hubs)
+    members = materialize(some.select("id", "bands").mapInArrow(lean(members_of), "id long, key long").join(shared, "key"))
     ids = members.select(F.xxhash64("id"), "id").distinct()
 
     def hashed(batches):
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array(mix(b.column("id").to_numpy().view(U64)).view(np.int64))], ["h"])
 
-    wanted = spark.sparkContext.broadcast(bloom_of(ids.select("id").mapInArrow(hashed, "h long"), "h"))
-    exact = docs.mapInArrow(_sets(k, wanted), "doc_id long, shingles binary").withColumnRenamed("doc_id", "id")
+    wanted = spark.sparkContext.broadcast(bloom_of(ids.select("id").mapInArrow(lean(hashed), "h long"), "h"))
+    exact = docs.mapInArrow(lean(_sets(k, wanted)), "doc_id long, shingles binary").withColumnRenamed("doc_id", "id")
     sets = exact.join(members.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
     sets = materialize(sets.select("id", "shingles", (F.octet_length("shingles") / 8).cast("long").alias("n")))
-    links = materialize(verify(hubs, sets, num, den))
+    # first every member meets the most frequent minimum of its buckets; those it is linked to need not meet again
+    main = members.where("lo <> id").groupBy("id", "lo").agg(F.count("*").alias("n")).groupBy("id").agg(F.max_by("lo", F.struct("n", -F.col("lo"))).alias("a")).select("a", F.col("id").alias("b"))
+    main = materialize(main)
+    first = materialize(verify(main, sets, num, den))
+    label = first.select(F.col("b").alias("id"), F.col("a").alias("label"))
+    hubs = members.select(F.col("lo").alias("a"), F.col("id").alias("b")).unionByName(members.select(F.col("id").alias("a"), F.col("hi").alias("b"))).where("a <> b").distinct()
+    hubs = hubs.join(main, ["a", "b"], "left_anti")
+    for x in ("a", "b"):
+        hubs = hubs.join(label.select(F.col("id").alias(x), F.col("label").alias(f"l{x}")), x, "left")
+    hubs = materialize(hubs.where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b"))
+    links = materialize(first.unionByName(verify(hubs, sets, num, den)))
+    hubs = main.unionByName(hubs)
     comp = materialize(connected_components(links))
     # buckets that still hold several components
     at = members.select("key", "lo", "id").join(comp, "id", "left").select("key", "lo", "id", F.coalesce("component", "id").alias("c"))
@@ -252,7 +275,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
         final = whole.join(joined.select(F.col("id").alias("component"), F.col("component").alias("top")), "component", "left").select("id", F.coalesce("top", "component").alias("component"))
     cls = reps.select("set_key", "id").join(final, "id", "left").select("set_key", F.coalesce("component", "id").alias("component_id"))
     out = sk.drop("bands").join(cls, "set_key", "left").select("doc_id", "n_shingles", F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
-    for t in (shared, hubs, links):
+    for t in (shared, main, links):
         drop_table(t)
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
