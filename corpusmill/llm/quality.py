@@ -1,21 +1,28 @@
 """Quality rules: text statistics, base rules, and robust multivariate outliers; DataFrame and SQL functions only.
 
 text_stats() counts over whole texts. robust_outliers() estimates for every (lang, source)
-group the location and scatter of transformed statistics by concentration steps of the
-minimum covariance determinant, and rejects documents whose squared Mahalanobis distance
-exceeds a chi-square quantile.
-
-The concentration steps: start from coordinate-wise medians and median absolute deviations,
-then repeatedly keep the share H of each group's documents that lie nearest and take their
-mean and covariance. Features are integers (1/1024 units) and sums are exact decimals, so
-that the result does not depend on the order in which rows are added. Distances are ranked in
-fine logarithmic bins, so a group of any size takes grouped counts only; no group is sorted or
-gathered. Scatter gets a floor on its diagonal (FLOOR), because clean corpora have columns
-that are zero for nearly every document. Groups with fewer than LEAST documents are pooled
-by language, and pools with fewer are pooled once more.
+group the location and scatter of transformed statistics by the minimum covariance determinant,
+and rejects documents whose squared Mahalanobis distance exceeds a chi-square quantile.
+
+Minimum covariance determinant: of the subsets that hold the share H of a group, the one whose
+covariance has the least determinant. It is sought from STARTS starts in each group: medians and
+median absolute deviations, and small subsets chosen by hash. A concentration step keeps the share
+H of the documents that lie nearest and takes their mean and covariance. All starts take FIRST
+steps; the best of each group then goes on until no group's determinant falls any more.
+
+One formula serves groups of every size: PRIOR rows with the estimate of the group's language are
+added to its moments, and PRIOR rows with the estimate of the whole corpus to a language's. So a
+group of few documents leans on its language, and one of many is on its own.
+
+Features are integers (1/1024 units) and sums are exact, so that the result does not depend on the
+order in which rows are added. Distances are ranked in fine logarithmic bins, and the subset is the
+least run of whole bins that holds the share H, so a group of any size takes grouped counts only; no
+group is sorted or gathered. Scatter gets a floor on its diagonal (FLOOR), because clean corpora
+have columns that are zero for nearly every document.
 
 Defined results: null text = empty text (no words, fails the base rules); null lang or source
-= a group of its own; repeated rows are judged alike; an empty table gives no rows.
+= a group of its own; null doc_id is judged like any other; repeated rows are judged alike, each
+counts; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,15 +35,18 @@ from corpusmill.llm.common import materialize, table
 WS = "\\x20\\x09-\\x0D"
 SYMBOLS = "#*$%&|<>"
 UNIT = 1024
-#: Share of a group that an estimate rests on, concentration steps, and the smallest group with its own estimate.
-H, STEPS, LEAST = 0.75, 3, 50
+#: Share of a group that an estimate rests on, starts, steps that all of them take, most steps of the best.
+H, STARTS, FIRST, MOST = 0.75, 4, 2, 25
+#: Rows with the estimate of the next larger group that count in a group's moments; rows of a start by hash.
+PRIOR, START_ROWS = 50, 12
 #: Parts into which the rows of a group are split wherever they meet its estimates.
 SALTS = 32
-#: Per feature: least standard deviation, in feature units.
 FEATURES = ("f_length", "f_word", "f_symbols", "f_lines", "f_repeat")
+#: Per feature: least standard deviation, in feature units.
 FLOOR = (0.8, 0.12, 0.06, 0.08, 0.08)
-#: Chi-square with 5 degrees of freedom, upper tail of one in 10,000; consistency factor of a 75 % subset.
-CUT, CONSISTENCY = 25.745, 1.66
+#: Chi-square with 5 degrees of freedom, upper tail of one in 10,000. The factor that makes the covariance
+#: of a normal sample's nearest 75 % consistent: .75 / P(chi-square of 7 <= the 75 % quantile of 5).
+CUT, CONSISTENCY = 25.745, 1.41207
 
 
 def text_stats(docs: DataFrame, *keep: str) -> DataFrame:
@@ -91,26 +101,32 @@ def features(stats: DataFrame) -> DataFrame:
     return stats.withColumns({k: F.round(x * UNIT).cast("int") for k, x in zip(FEATURES, f, strict=True)})
 
 
-def _moments() -> list[Column]:
-    d = lambda c: c.cast("decimal(38,0)")
-    out = [F.count("*").alias("n")]
-    for i, a in enumerate(FEATURES):
-        out.append(F.sum(d(F.col(a))).alias(f"s{i}"))
-        out += [F.sum(d(F.col(a).cast("long") * F.col(b).cast("long"))).alias(f"q{i}{j}") for j, b in enumerate(FEATURES[: i + 1])]
-    return out
+_P = len(FEATURES)
+_PAIRS = [(i, j) for i in range(_P) for j in range(i + 1)]
+_FIT = [*[f"m{i}" for i in range(_P)], *[f"l{i}{j}" for i, j in _PAIRS]]
+_SUMS = [*[f"s{i}" for i in range(_P)], *[f"q{i}{j}" for i, j in _PAIRS]]
 
 
-def _cholesky(m: DataFrame, scale: float) -> DataFrame:
-    """Adds mean m_i and the Cholesky factor l_ij of scale * covariance + floor, from the moments."""
-    p, n = len(FEATURES), F.col("n").cast("double")
-    m = m.withColumns({f"m{i}": F.col(f"s{i}").cast("double") / n for i in range(p)})
-    m = m.withColumns({f"c{i}{j}": scale * (F.col(f"q{i}{j}").cast("double") / n - F.col(f"m{i}") * F.col(f"m{j}")) + (F.lit((FLOOR[i] * UNIT) ** 2) if i == j else F.lit(0.0)) for i in range(p) for j in range(i + 1)})
-    for i in range(p):
-        for j in range(i + 1):
-            rest = sum((F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j)), F.lit(0.0))
-            x = F.col(f"c{i}{j}") - rest
-            m = m.withColumn(f"l{i}{j}", F.sqrt(F.greatest(x, F.lit(1.0))) if i == j else x / F.col(f"l{j}{j}"))
-    return m.select("g", *[f"m{i}" for i in range(p)], *[f"l{i}{j}" for i in range(p) for j in range(i + 1)])
+def _sums() -> list[Column]:
+    """Count, sums and sums of products: exact, as integers."""
+    f = [F.col(x).cast("long") for x in FEATURES]
+    return [F.count("*").alias("n"), *[F.sum(f[i]).alias(f"s{i}") for i in range(_P)], *[F.sum(f[i] * f[j]).alias(f"q{i}{j}") for i, j in _PAIRS]]
+
+
+def _estimate(m: DataFrame, prior: DataFrame | None, *keys: str) -> DataFrame:
+    """keys, mean m_i, covariance c_ij, Cholesky factor l_ij of CONSISTENCY * covariance + floor, and its log determinant, from sums."""
+    m = m.withColumns({c: F.col(c).cast("double") for c in ("n", *_SUMS)})
+    if prior is not None:
+        m = m.join(prior, "g")
+        m = m.withColumns({f"q{i}{j}": F.col(f"q{i}{j}") + PRIOR * (F.col(f"pc{i}{j}") + F.col(f"pm{i}") * F.col(f"pm{j}")) for i, j in _PAIRS})
+        m = m.withColumns({f"s{i}": F.col(f"s{i}") + PRIOR * F.col(f"pm{i}") for i in range(_P)} | {"n": F.col("n") + PRIOR})
+    m = m.withColumns({f"m{i}": F.col(f"s{i}") / F.col("n") for i in range(_P)})
+    m = m.withColumns({f"c{i}{j}": F.col(f"q{i}{j}") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}") for i, j in _PAIRS})
+    for i, j in _PAIRS:
+        x = CONSISTENCY * F.col(f"c{i}{j}") + (F.lit((FLOOR[i] * UNIT) ** 2) if i == j else F.lit(0.0)) - sum((F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j)), F.lit(0.0))
+        m = m.withColumn(f"l{i}{j}", F.sqrt(F.greatest(x, F.lit(1.0))) if i == j else x / F.col(f"l{j}{j}"))
+    det = sum((F.ln(f"l{i}{i}") for i in range(1, _P)), F.ln("l00"))
+    return m.select(*keys, *_FIT, *[f"c{i}{j}" for i, j in _PAIRS], F.round(det, 9).alias("det"))
 
 
 def _distance() -> Column:
@@ -121,50 +137,84 @@ def _distance() -> Column:
     return sum((x * x for x in y[1:]), y[0] * y[0])
 
 
-def _with(x: DataFrame, small: DataFrame, key: str) -> DataFrame:
-    """x joined with one row a group. A hot group's rows carry SALTS salts, and so come in as many parts."""
+def _with(x: DataFrame, small: DataFrame, key: str = "g") -> DataFrame:
+    """x joined with a few rows a group. A hot group's rows carry SALTS salts, and so come in as many parts."""
     return x.join(small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [key, "_salt"])
 
 
+def _nearest(x: DataFrame, fit: DataFrame) -> DataFrame:
+    """Sums over the nearest rows, the share H, of every group and start: one pass over the rows.
+
+    Rows are added up by bin of their distance; the bins of a group number at most 64 for each
+    power of e between the least and the largest distance.
+    """
+    d = _with(x, fit.select("g", "start", *_FIT)).withColumn("b", F.floor(F.ln(_distance() + 1e-3) * 64).cast("int"))
+    bins = materialize(d.groupBy("g", "start", "b").agg(*_sums()))
+    runs = bins.groupBy("g", "start").agg(F.array_sort(F.collect_list(F.struct("b", "n"))).alias("bins"), F.sum("n").alias("all"))
+    cut = F.aggregate("bins", F.struct(F.lit(0).cast("long").alias("n"), F.lit(-(10**6)).alias("b")), lambda a, y: F.when(a["n"] >= F.col("all") * H, a).otherwise(F.struct((a["n"] + y["n"]).alias("n"), y["b"].alias("b"))))["b"]
+    near = bins.join(runs.select("g", "start", cut.alias("cut")), ["g", "start"]).where("b <= cut")
+    return near.groupBy("g", "start").agg(*[F.sum(c).alias(c) for c in ("n", *_SUMS)])
+
+
+def _starts(x: DataFrame, prior: DataFrame | None) -> DataFrame:
+    """STARTS first estimates a group: medians and median absolute deviations, and subsets of about START_ROWS rows by hash."""
+    wide = 16
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("f"), F.floor(F.col(c) / wide).cast("int").alias("b")) for i, c in enumerate(FEATURES)])).alias("v")
+    counts = x.select("g", each).groupBy("g", "v.f", "v.b").agg(F.count("*").alias("n"))
+    # bins of 1/64 unit: as many as a feature's range has, whatever the number of rows
+    h = counts.groupBy("g", "f").agg(F.collect_list(F.struct(F.col("b").alias("b"), F.col("n").alias("n"))).alias("v"), F.sum("n").alias("all"))
+    half = lambda v: F.aggregate(F.array_sort(v), F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("b")), lambda a, y: F.when(a["n"] * 2 >= F.col("all"), a).otherwise(F.struct((a["n"] + y["n"]).alias("n"), y["b"].alias("b"))))["b"]
+    h = h.withColumn("m", half(F.col("v")))
+    h = h.withColumn("a", half(F.transform("v", lambda y: F.struct(F.abs(y["b"] - F.col("m")).alias("b"), y["n"].alias("n")))))
+    h = materialize(h.select("g", "f", F.col("all").alias("n"), (F.col("m") * wide + wide / 2).alias("m"), (F.col("a") * wide * 1.4826).alias("a")))
+    pick = lambda f, c: F.max(F.when(F.col("f") == f, F.col(c)))
+    sd = lambda i: F.sqrt(pick(i, "a") ** 2 + F.lit((FLOOR[i] * UNIT) ** 2))
+    robust = h.groupBy("g").agg(*[pick(i, "m").alias(f"m{i}") for i in range(_P)], *[(sd(i) if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i, j in _PAIRS])
+    robust = robust.select("g", F.lit(0).alias("start"), *_FIT)
+    n = h.where("f = 0").select("g", F.col("n").alias("_n"))
+    some = _with(x, n).withColumn("start", F.explode(F.array(*[F.lit(i) for i in range(1, STARTS)])))
+    some = some.where(F.pmod(F.xxhash64("_id", "start"), F.col("_n")) < START_ROWS)
+    return robust.unionByName(_estimate(some.groupBy("g", "start").agg(*_sums()), prior, "g", "start").select("g", "start", *_FIT))
+
+
+def determinants(x: DataFrame, prior: DataFrame | None = None) -> DataFrame:
+    """For every g of x (g, _salt, _id, FEATURES): the estimate of least determinant, with mean m_i, covariance c_ij and factor l_ij.
+
+    prior, if any, has g, pm_i and pc_ij: the estimate that PRIOR rows add.
+    """
+    x = x.select("g", "_salt", "_id", *FEATURES)
+    fit = materialize(_starts(x, prior))
+    for _ in range(FIRST):
+        fit = materialize(_estimate(_nearest(x, fit), prior, "g", "start"))
+    rest = [c for c in fit.columns if c != "g"]
+    least = lambda f: f.groupBy("g").agg(F.min_by(F.struct(*rest), F.struct("det", "start")).alias("z")).select("g", "z.*")
+    best = materialize(least(fit))
+    for _ in range(MOST):
+        new = materialize(_estimate(_nearest(x, best), prior, "g", "start"))
+        lower = new.join(best.select("g", F.col("det").alias("_det")), "g").where("det < _det").drop("_det")
+        if lower.isEmpty():
+            break
+        best = materialize(least(best.unionByName(lower)))
+    return best
+
+
 def robust_outliers(stats: DataFrame, key: str = "doc_id") -> DataFrame:
     """stats (with lang, source) plus distance (DOUBLE) and outlier (BOOLEAN)."""
     name = lambda *c: F.concat_ws("\x01", *[F.coalesce(F.concat(F.lit("="), x), F.lit("-")) for x in c])
-    x = features(stats).withColumns({"_lang": name("lang"), "_own": name("lang", "source"), "_salt": F.pmod(F.xxhash64(key, *FEATURES), F.lit(SALTS)).cast("int")})
-    x = materialize(x)
-    own = x.groupBy("_own").agg(F.count("*").alias("n_own"))
-    x = _with(x, own, "_own")
-    lang = x.groupBy("_lang").agg(F.count_if(F.col("n_own") < LEAST).alias("n_lang"))
-    x = _with(x, lang, "_lang")
-    x = x.withColumn("g", F.when(F.col("n_own") >= LEAST, F.col("_own")).when(F.col("n_lang") >= LEAST, F.col("_lang")).otherwise("*")).drop("n_own", "n_lang", "_own", "_lang")
-    return _judge(x)
-
-
-def _bin(d: Column) -> Column:
-    return F.floor(F.ln(d + 1e-3) * 16).cast("int")
-
-
-def _judge(x: DataFrame) -> DataFrame:
-    x = materialize(x)
-    est = x.select("g", "_salt", *FEATURES)
-    p = len(FEATURES)
-    med = est.groupBy("g").agg(*[F.percentile_approx(f, 0.5, 10000).alias(f"m{i}") for i, f in enumerate(FEATURES)])
-    dev = _with(est, med, "g").groupBy("g").agg(*[F.percentile_approx(F.abs(F.col(f) - F.col(f"m{i}")), 0.5, 10000).alias(f"a{i}") for i, f in enumerate(FEATURES)])
-    fit = med.join(dev, "g").select(
-        "g",
-        *[F.col(f"m{i}").cast("double").alias(f"m{i}") for i in range(p)],
-        *[(F.sqrt((1.4826 * F.col(f"a{i}")) ** 2 + (FLOOR[i] * UNIT) ** 2) if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i in range(p) for j in range(i + 1)],
-    )
-    for step in range(STEPS):
-        fit = materialize(fit)
-        d = _with(est, fit, "g").select("g", "_salt", *FEATURES, _bin(_distance()).alias("b"))
-        counts = d.groupBy("g", "b").agg(F.count("*").alias("n"))
-        total = counts.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("b", "n"))).alias("bins"), F.sum("n").alias("all"))
-        # the lowest bin at which the share H is reached; the number of bins is bounded by the logarithm of a distance
-        cut = total.select("g", F.aggregate("bins", F.struct(F.lit(0).cast("long").alias("n"), F.lit(-10**6).alias("b")), lambda a, y: F.when(a["n"] >= F.col("all") * H, a).otherwise(F.struct((a["n"] + y["n"]).alias("n"), y["b"].alias("b"))))["b"].alias("cut"))
-        best = _with(d, cut, "g").where("b <= cut").groupBy("g").agg(*_moments())
-        fit = _cholesky(best, CONSISTENCY)
-    fit = materialize(fit)
-    return _with(x, fit, "g").withColumn("distance", _distance()).withColumn("outlier", F.col("distance") > CUT).drop("g", "_salt", *[f"m{i}" for i in range(p)], *[f"l{i}{j}" for i in range(p) for j in range(i + 1)])
+    x = features(stats).withColumns({"_lang": name("lang"), "_own": name("lang", "source"), "_id": F.xxhash64(key, *FEATURES)})
+    x = materialize(x.withColumn("_salt", F.pmod("_id", F.lit(SALTS)).cast("int")))
+    small = x.select("_lang", "_own", "_salt", "_id", *FEATURES)
+    prior, at = None, None
+    for level in (F.lit("*"), F.col("_lang"), F.col("_own")):
+        own = small.withColumn("g", level)
+        if at is not None:
+            # the estimate of the group around each group
+            up = own.select("g", at.alias("_up")).distinct()
+            old = fit.select(F.col("g").alias("_up"), *[F.col(f"m{i}").alias(f"pm{i}") for i in range(_P)], *[F.col(f"c{i}{j}").alias(f"pc{i}{j}") for i, j in _PAIRS])
+            prior = materialize(up.join(old, "_up").drop("_up"))
+        fit, at = determinants(own, prior), level
+    fit = fit.select(F.col("g").alias("_own"), *_FIT)
+    return _with(x, fit, "_own").withColumn("distance", _distance()).withColumn("outlier", F.col("distance") > CUT).drop("_own", "_lang", "_salt", "_id", *_FIT)
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
