@@ -2,8 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and
 read again as the next stage's docs. All but the last return the columns of documents.
-Documents are rejected by doc_id: rows that share a rejected doc_id go together, and rows
-without a doc_id, which cannot be named, stay.
+
+Defined results: null and empty texts fail the quality rules; a row without a doc_id is judged by
+a hash of the row in place of the id, like any other; of equal rows, and of near duplicates, one
+stays, that of the lowest doc_id; rows of one doc_id whose texts differ are rejected together and
+else stay; extra columns are carried along; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -12,31 +15,38 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.llm import decontam, minhash, packing, quality, substrings
-from corpusmill.llm.common import materialize, table
+from corpusmill.llm.common import keyed, materialize, table, unkeyed
 from corpusmill.llm.tokens import default_vocabulary
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and are no outlier of their language and source."""
-    rejected = materialize(quality.quality_rules(docs).where(~F.col("kept")).select("doc_id").distinct())
-    return docs.join(rejected, "doc_id", "left_anti").select(docs.columns)
+    own = keyed(docs)
+    rejected = materialize(quality.quality_rules(own).where(~F.col("kept")).select("doc_id").distinct())
+    return unkeyed(own.join(rejected, "doc_id", "left_anti"), docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The lowest document of each near-duplicate component (five words, similarity 0.8)."""
-    extra = materialize(minhash.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct())
-    return docs.join(extra, "doc_id", "left_anti").select(docs.columns)
+    """The lowest document of each near-duplicate component (five words, similarity 0.8), and one of equal rows."""
+    own = keyed(docs)
+    extra = materialize(minhash.near_duplicates(own).where(~F.col("kept")).select("doc_id").distinct())
+    again = materialize(own.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
+    kept = own.join(extra, "doc_id", "left_anti")
+    if not again.isEmpty():
+        kept = kept.join(again, "doc_id", "left_anti").unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
+    return unkeyed(kept, docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages that a lower document has."""
-    return substrings.without_repeats(docs)
+    return unkeyed(substrings.without_repeats(keyed(docs)), docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without benchmark items."""
-    found = decontam.contaminated(docs, table(spark, sf_dir, "benchmark"))
-    return docs.join(materialize(found.select("doc_id").distinct()), "doc_id", "left_anti").select(docs.columns)
+    own = keyed(docs)
+    found = materialize(decontam.contaminated(own, table(spark, sf_dir, "benchmark")).select("doc_id").distinct())
+    return unkeyed(own.join(found, "doc_id", "left_anti"), docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
@@ -78,3 +79,22 @@ def replace_all(text: Column | str, pairs: dict[str, str] | Iterable[tuple[str,
             c, src, dst = F.translate(c, src, dst), "", ""
         c = F.replace(c, F.lit(a), F.lit(b))
     return F.translate(c, src, dst) if src else c
+
+
+def trie_pattern(items: Iterable[str]) -> str:
+    """A regular expression for any of the literals, longest first, that reads no character twice."""
+    root: dict = {}
+    for x in items:
+        at = root
+        for c in x:
+            at = at.setdefault(c, {})
+        at[""] = {}
+
+    def show(at: dict) -> str:
+        parts = [re.escape(c) + show(sub) for c, sub in at.items() if c]
+        if not parts:
+            return ""
+        body = parts[0] if len(parts) == 1 and "" not in at else "(?:" + "|".join(parts) + ")"
+        return body + "?" if "" in at else body
+
+    return show(root)

@@ -1,11 +1,14 @@
 """Scalar metrics of a text."""
 
-from __future__ import annotations
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from corpusmill.functions.expr import col, count_chars, count_of, let
+from corpusmill.functions.expr import col, count_chars, count_of
 from corpusmill.functions.phrases import mapping
 
 
@@ -29,22 +32,20 @@ def term_density(text, term: str) -> Column:
     return F.when(F.length(t) > 0, count_of(t, term) / F.length(t) / len(term)).otherwise(0.0)
 
 
+def _entropy(text: str) -> float:
+    n = np.unique(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4"), return_counts=True)[1]
+    return float(np.log2(n.sum()) - (n * np.log2(n)).sum() / n.sum()) if len(n) else 0.0
+
+
+@F.pandas_udf(T.DoubleType())
+def _entropies(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for s in batches:
+        yield s.map(_entropy, na_action="ignore").astype(float)
+
+
 def entropy(text) -> Column:
-    """Shannon entropy of the characters in bits; 0 for an empty text."""
-    chars = F.array_sort(F.split(col(text), ""))
-    n = F.length(col(text))
-    # runs of equal characters in the sorted array
-    state = F.aggregate(
-        F.filter(chars, lambda c: c != ""),
-        F.struct(F.lit("").alias("c"), F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("s")),
-        lambda a, c: F.struct(
-            c.alias("c"),
-            F.when(a["c"] == c, a["n"] + 1).otherwise(F.lit(1).cast("long")).alias("n"),
-            F.when(a["c"] == c, a["s"]).otherwise(a["s"] + F.when(a["n"] > 0, a["n"] * F.ln(a["n"].cast("double"))).otherwise(0.0)).alias("s"),
-        ),
-    )
-    total = let(state, lambda a: a["s"] + F.when(a["n"] > 0, a["n"] * F.ln(a["n"].cast("double"))).otherwise(0.0))
-    return F.when(n > 0, (F.ln(n.cast("double")) - total / n) / F.ln(F.lit(2.0))).otherwise(0.0)
+    """Shannon entropy of the characters in bits; 0 for an empty text. One histogram a text, in Arrow batches."""
+    return _entropies(col(text))
 
 
 def topic_score(text, weights: dict[str, int] | None = None) -> Column:

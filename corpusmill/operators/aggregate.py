@@ -88,15 +88,19 @@ def answers_of(posts: DataFrame, id: str = "id", parent: str = "parent", kind: s
     return q.join(a, "id", "left").select("id", "question", F.map_from_entries(pairs).alias("answers"))
 
 
-def running_shards(docs: DataFrame, size: str, order: str, limit: int) -> DataFrame:
+def running_shards(docs: DataFrame, size: str, order: str, limit: int, rows: int = 1 << 16) -> DataFrame:
     """shard = earlier bytes div limit, by running sums in two steps.
 
-    Sums of hash-free blocks of the order first, then a window over those few block sums, then a
-    window within each block, so that no task holds the whole table. `order` must be a BIGINT.
+    The range of the order is cut into as many equal parts as there are `rows` rows; sums of the
+    parts first, then a window over those few sums, then a window within each part, so that no task
+    holds the whole table, whether the orders are dense or hashes. `order` must be a BIGINT.
     """
-    x = docs.withColumn("_b", F.floor(F.col(order) / 4096))
+    o = F.col(order).cast("double")
+    span = docs.agg(F.min(o).alias("_lo"), F.max(o).alias("_hi"), F.greatest(F.ceil(F.count("*") / rows), F.lit(1)).alias("_parts"))
+    x = docs.join(F.broadcast(span))  # one row is broadcast
+    x = x.withColumn("_b", F.floor((o - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + 1) * F.col("_parts"))).drop("_lo", "_hi", "_parts")
     sums = x.groupBy("_b").agg(F.sum(size).alias("_s"))
-    # one row for 4,096 orders: the only window without a key runs over those
+    # one row for about `rows` rows: the only window without a key runs over those
     before = sums.withColumn("_before", F.coalesce(F.sum("_s").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_s")
     w = Window.partitionBy("_b").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     x = x.join(before, "_b").withColumn("before", (F.col("_before") + F.coalesce(F.sum(size).over(w), F.lit(0))).cast("long"))

@@ -1,5 +1,6 @@
 """Extraction: arrays of what a text holds, and frames that explode them."""
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,6 +12,7 @@ from corpusmill.functions.expr import col, strip
 from corpusmill.functions.text import html_paragraphs
 from corpusmill.operators.filters import answer_ok
 
+_BRACE = re.compile(r"[{}]")
 _PAIR = r"(?ms)^([A-Z][^?\n]{3,100}\?)\s*\n+((?:.{30,}\n?){2,})"
 
 
@@ -58,10 +60,15 @@ def question_links(text) -> Column:
     return F.regexp_extract_all(col(text), F.lit(r"/questions/[0-9]{6,9}/[a-z-]+"), F.lit(0))
 
 
+def _behind(parts: Column) -> Column:
+    """All parts but the first."""
+    return F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))
+
+
 def prefixed_links(text, prefix: str, marker: str) -> Column:
     """What follows each prefix up to a quote, if it holds the marker."""
     quoted = "\\Q" + prefix + "\\E"
-    return F.filter(F.transform(F.slice(F.split(col(text), quoted), 2, 1_000_000), lambda x: F.substring_index(x, '"', 1)), lambda x: F.contains(x, F.lit(marker)))
+    return F.filter(F.transform(_behind(F.split(col(text), quoted)), lambda x: F.substring_index(x, '"', 1)), lambda x: F.contains(x, F.lit(marker)))
 
 
 def caption_lines(text) -> Column:
@@ -70,7 +77,7 @@ def caption_lines(text) -> Column:
 
 def video_ids(text) -> Column:
     """Distinct ids after /watch?v=, cut at the quote, at & and at t=."""
-    parts = F.slice(F.split(col(text), r"/watch\?v="), 2, 1_000_000)
+    parts = _behind(F.split(col(text), r"/watch\?v="))
     return F.array_distinct(F.transform(parts, lambda p: F.substring_index(F.substring_index(F.substring_index(p, '"', 1), "&", 1), "t=", 1)))
 
 
@@ -79,18 +86,26 @@ def balanced_json(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """The text from its first brace to the brace that closes it; null if none does."""
 
     def one(t):
-        start = (t or "").find("{")
-        depth = 0
-        for i in range(start, len(t or "")) if start >= 0 else ():
-            depth += (t[i] == "{") - (t[i] == "}")
-            if not depth:
-                return t[start : i + 1]
+        start, depth = -1, 0
+        for m in _BRACE.finditer(t):
+            if m[0] == "{":
+                start = m.start() if start < 0 else start
+                depth += 1
+            elif start >= 0:
+                depth -= 1
+                if not depth:
+                    return t[start : m.end()]
         return None
 
     for s in batches:
-        yield s.map(one)
+        yield s.map(one, na_action="ignore")
 
 
 def documents(df: DataFrame, text: str = "value", end: str = "<|endoftext|>") -> DataFrame:
     """One row for each non-empty document of delimited texts."""
     return df.select(F.explode(F.split(text, "\\Q" + end + "\\E")).alias("text")).where(strip("text") != "")
+
+
+def new_links(pages: DataFrame, links: Column, known: DataFrame) -> DataFrame:
+    """link: what pages link to and the known set does not hold, once each; a crawl's next frontier."""
+    return pages.select(F.explode(links).alias("link")).distinct().join(known.select("link"), "link", "left_anti")

@@ -7,6 +7,10 @@ their own.
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,13 +49,47 @@ def blacklist(text, key, threshold: int = 3, share: float = 0.01) -> Column:
     return blacklist_clean(text, threshold) | keep(key, share)
 
 
+def _automaton(items: tuple[str, ...]):
+    """An automaton over literals, each with its number of copies in the list."""
+    import ahocorasick
+
+    a = ahocorasick.Automaton()
+    for x, n in Counter(items).items():
+        a.add_word(x, (x, n))
+    a.make_automaton()
+    return a
+
+
+def count_literals(text, items) -> Column:
+    """count_all() in one pass over each text, however many literals there are: an automaton over Arrow batches."""
+    items = tuple(items)
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        a = _automaton(items)
+
+        def one(t: str) -> int:
+            n, ends = 0, {}
+            for end, (x, k) in a.iter(t):
+                # occurrences of one literal do not overlap
+                if ends.get(x, -1) < end - len(x) + 1:
+                    ends[x] = end
+                    n += k
+            return n
+
+        for s in batches:
+            yield s.map(one, na_action="ignore").astype("Int64")
+
+    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return F.pandas_udf(run, "bigint")(col(text))
+
+
 def topic_hits(text, keywords=None) -> Column:
-    return count_all(F.lower(col(text)), keywords or phrases("topics"))
+    return count_literals(F.lower(col(text)), keywords or phrases("topics"))
 
 
 def topic_match(text, keywords=None, good=None, threshold: int = 3) -> Column:
     """A high-quality phrase occurs, or topic keywords occur more than `threshold` times in all."""
-    return contains_any(F.lower(col(text)), good or phrases("good_phrases")) | (topic_hits(text, keywords) > threshold)
+    return (count_literals(F.lower(col(text)), good or phrases("good_phrases")) > 0) | (topic_hits(text, keywords) > threshold)
 
 
 def topic_filter(text, key, threshold: int = 3, share: float = 0.05) -> Column:

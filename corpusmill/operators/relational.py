@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions.expr import bucket, col, keep
 from corpusmill.functions.text import title_key
+from corpusmill.sources.scratch import cut
 
 
 def with_scores(pages: DataFrame, scores: DataFrame, title: str = "title", cutoff: float = 30.0) -> DataFrame:
@@ -87,12 +88,20 @@ def prompt_pairs(turns: DataFrame) -> DataFrame:
     return u.join(a, ["conv_id", "turn"])
 
 
-def reachable(edges: DataFrame, start: DataFrame, depth: int = 3) -> DataFrame:
-    """node, depth: what stored links lead to from the start nodes, each at its least depth."""
-    seen = start.select("node").distinct().withColumn("depth", F.lit(0))
-    front = seen
+def reachable(edges: DataFrame, start: DataFrame, depth: int = 3, nodes: DataFrame | None = None, least_visits: int | None = None) -> DataFrame:
+    """node, depth: what stored links lead to from the start nodes, each at its least depth.
+
+    With nodes (node, n_visits), only nodes of more than least_visits visits are kept and followed.
+    Every round ends in a table of the shared folder, so the plan stays one round long.
+    """
+    alive = None if nodes is None else nodes.where(F.col("n_visits") > (least_visits or 0)).select("node")
+    keep = lambda x: x if alive is None else x.join(alive, "node", "left_semi")
+    seen = front = cut(keep(start.select("node").distinct()).withColumn("depth", F.lit(0)))
     for d in range(1, depth + 1):
-        front = front.join(edges, front["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("depth", F.lit(d))
+        new = front.join(edges, front["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct()
+        front = cut(keep(new).join(seen, "node", "left_anti").withColumn("depth", F.lit(d)))
+        if front.isEmpty():
+            break
         seen = seen.unionByName(front)
     return seen
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections import Counter
 from collections.abc import Iterator
 
@@ -10,13 +11,15 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusmill.functions.expr import col
+from corpusmill.sources.scratch import cut
 
 
-def word_frequencies(docs: DataFrame, text: str = "text", least: int = 1) -> DataFrame:
+def word_frequencies(docs: DataFrame, text: str = "text", least: int = 1, word_end: str = " ") -> DataFrame:
     """word (with a space behind it), n: what training needs of a corpus."""
-    return docs.select(F.explode(F.split(text, " ")).alias("w")).where("w <> ''").groupBy(F.concat("w", F.lit(" ")).alias("word")).agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    return docs.select(F.explode(F.split(text, " ")).alias("w")).where("w <> ''").groupBy(F.concat("w", F.lit(word_end)).alias("word")).agg(F.count("*").alias("n")).where(F.col("n") >= least)
 
 
 def alphabet(docs: DataFrame, text: str = "text") -> list[str]:
@@ -25,14 +28,46 @@ def alphabet(docs: DataFrame, text: str = "text") -> list[str]:
     return sorted(r["c"] for r in got)
 
 
-def train_bpe(docs: DataFrame, size: int, text: str = "text") -> list[tuple[str, str]]:
+def _train_local(words: list[tuple[str, int]], size: int) -> list[tuple[str, str]]:
+    """train_bpe() over word counts in memory: only words that have the merged pair are counted anew."""
+    split, counts, where = [list(w) for w, _ in words], Counter(), {}
+    for i, x in enumerate(split):
+        for p in zip(x, x[1:]):
+            counts[p] += words[i][1]
+            where.setdefault(p, set()).add(i)
+    merges = []
+    while len(merges) < size and counts:
+        a, b = min(counts, key=lambda p: (-counts[p], p))
+        merges.append((a, b))
+        for i in where.pop((a, b)):
+            x, n, out = split[i], words[i][1], []
+            for p in zip(x, x[1:]):
+                counts[p] -= n
+                if not counts[p]:
+                    del counts[p]
+            j = 0
+            while j < len(x):
+                both = x[j : j + 2] == [a, b]
+                out.append(a + b if both else x[j])
+                j += 1 + both
+            split[i] = out
+            for p in zip(out, out[1:]):
+                counts[p] += n
+                where.setdefault(p, set()).add(i)
+    return merges
+
+
+def train_bpe(docs: DataFrame, size: int, text: str = "text", most_local: int = 2_000_000, word_end: str = " ") -> list[tuple[str, str]]:
     """At most `size` merges, most frequent pair first (ties: the smallest pair).
 
-    The corpus is folded to the counts of all its words, which stay distributed; one pair a
-    step reaches the driver. A token is one code point that no text has, so that a merge is a
-    replacement in many words at once.
+    The corpus is folded to the counts of all its words. Up to `most_local` distinct words are merged
+    on the driver; more stay distributed, and one pair a step reaches the driver. Both give the same
+    merges. There a token is one code point that no text has, so that a merge is a replacement in
+    many words at once.
     """
-    words = word_frequencies(docs, text).checkpoint()
+    words = cut(word_frequencies(docs, text, word_end=word_end))
+    if words.count() <= most_local:
+        return _train_local([(r["word"], r["n"]) for r in words.collect()], size)
     chars = [*alphabet(words, "word")]
     used = {*map(ord, chars)}
     free = (c for c in range(1, 0x110000) if c not in used and not 0xD800 <= c < 0xE000)
@@ -74,24 +109,74 @@ def expand(token: str, mapping: dict[str, tuple[str, ...]]) -> str:
 
 
 def merge_pass(tokens, first: str, second: str) -> Column:
-    """One left-to-right merge of a pair in an array of strings."""
-    done = F.aggregate(
-        col(tokens),
-        F.struct(F.array().cast("array<string>").alias("out"), F.lit(False).alias("open")),
-        lambda a, x: F.when(a["open"] & (x == second), F.struct(F.concat(F.slice(a["out"], 1, F.size(a["out"]) - 1), F.array(F.lit(first + second))).alias("out"), F.lit(False).alias("open"))).otherwise(F.struct(F.concat(a["out"], F.array(x)).alias("out"), (x == first).alias("open"))),
-    )
-    return done["out"]
+    """One left-to-right merge of a pair in an array of strings, as one replacement in the joined tokens (\\x01 stands around each)."""
+    joined = F.concat(F.lit("\x01"), F.array_join(col(tokens), "\x01\x01"), F.lit("\x01"))
+    merged = F.replace(joined, F.lit(f"\x01{first}\x01\x01{second}\x01"), F.lit(f"\x01{first}{second}\x01"))
+    parts = F.split(F.substring(merged, 2, F.greatest(F.length(merged) - 2, F.lit(0))), "\x01\x01")
+    return F.when(F.size(col(tokens)) > 0, parts).otherwise(F.array().cast("array<string>"))
+
+
+@F.pandas_udf(T.StringType())
+def byte_text(text: pd.Series) -> pd.Series:
+    """The text's UTF-8 bytes as printable characters, one each, with a space before each byte of a space: words for train_bpe and encode with word_end ''."""
+    return text.map(lambda t: t.encode().decode("latin-1").translate(_BYTES), na_action="ignore")
+
+
+def decode_bytes(df: DataFrame, merges: list[tuple[str, str]], ids: dict[str, int], tokens: str = "tokens") -> DataFrame:
+    """df plus text: what byte-level tokens stand for; special tokens as they are."""
+    byte = {c: b for b, c in enumerate(_BYTE)}
+    learned = {a + b for a, b in merges}
+    raw = {i: bytes(byte[c] for c in t) if t in learned or t in byte else t.encode() for t, i in ids.items()}
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            yield s.map(lambda x: b"".join(raw[i] for i in x).decode(errors="replace"), na_action="ignore")
+
+    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return df.withColumn("text", F.pandas_udf(run, "string")(F.col(tokens)))
+
 
+def _byte_characters() -> list[str]:
+    """A character for every byte: itself where it prints, and otherwise the next one from 256 on."""
+    plain, free = {*range(33, 127), *range(161, 173), *range(174, 256)}, iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(free)) for b in range(256)]
 
-def encode(docs: DataFrame, merges: list[tuple[str, str]], text: str = "text", end_id: int | None = None) -> DataFrame:
-    """docs plus tokens ARRAY<INT>, in Arrow batches; ids number the sorted characters of the texts and merges, then the merges."""
-    chars = sorted({*alphabet(docs, text), " ", *(c for p in merges for t in p for c in t)})
 
-    def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+_BYTE = _byte_characters()
+_BYTES = {b: (" " if b == 32 else "") + c for b, c in enumerate(_BYTE)}
+
+
+def save_tokenizer(spark, path: str, merges: list[tuple[str, str]], chars: list[str], special: list[str]) -> None:
+    """A vocabulary, its merges and its special tokens as one JSON row."""
+    spark.createDataFrame([(chars, [list(m) for m in merges], special)], "chars array<string>, merges array<array<string>>, special array<string>").coalesce(1).write.json(path)
+
+
+def load_tokenizer(spark, path: str) -> tuple[list[tuple[str, str]], dict[str, int]]:
+    """(merges, ids): characters, merges and special tokens are numbered in this order, as encode() numbers them."""
+    r = spark.read.schema("chars array<string>, merges array<array<string>>, special array<string>").json(path).first()
+    merges, ids = [tuple(m) for m in r["merges"]], {}
+    for t in [*sorted(r["chars"]), *(a + b for a, b in merges), *r["special"]]:
+        ids.setdefault(t, len(ids))
+    return merges, ids
+
+
+def endless() -> Iterator[int]:
+    """1 without end: a sampler for loaders that draw their own windows."""
+    return itertools.repeat(1)
+
+
+def encode(docs: DataFrame, merges: list[tuple[str, str]], text: str = "text", end_id: int | None = None, ids: dict[str, int] | None = None, word_end: str = " ") -> DataFrame:
+    """docs plus tokens ARRAY<INT>, in Arrow batches; ids, if not given, number the sorted characters of the texts and merges, then the merges."""
+    known = ids
+    if known is None:
+        chars = sorted({*alphabet(docs, text), *word_end, *(c for p in merges for t in p for c in t)})
+        known = {}
+        for t in [*chars, *(a + b for a, b in merges)]:
+            known.setdefault(t, len(known))
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         rank = {p: i for i, p in enumerate(merges)}
-        number = {c: i for i, c in enumerate(chars)}
-        for p in merges:
-            number.setdefault(p[0] + p[1], len(number))
+        number = known
         cache: dict[str, list[int]] = {}
 
         def word(w: str) -> list[int]:
@@ -110,10 +195,10 @@ def encode(docs: DataFrame, merges: list[tuple[str, str]], text: str = "text", e
             return got
 
         for s in batches:
-            yield s.map(lambda t: [i for w in (t or "").split(" ") if w for i in word(w + " ")] + ([] if end_id is None else [end_id]))
+            yield s.map(lambda t: [i for w in (t or "").split(" ") if w for i in word(w + word_end)] + ([] if end_id is None else [end_id]))
 
-    ids.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return docs.withColumn("tokens", F.pandas_udf(ids, "array<int>")(F.col(text)))
+    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return docs.withColumn("tokens", F.pandas_udf(run, "array<int>")(F.col(text)))
 
 
 def chunks(tokens, size: int) -> Column:
@@ -146,8 +231,9 @@ def first_shards(shards: DataFrame, most: int, order: str = "shard", size: str =
 
 
 def uint16(tokens) -> Column:
-    """Ids below 65,536 as they would be stored in two unsigned bytes."""
-    return F.transform(col(tokens), lambda x: x.bitwiseAND(0xFFFF))
+    """Ids as they would be stored in two unsigned bytes; an id of 65,536 or more is an error, not another id."""
+    t = col(tokens)
+    return F.when(F.exists(t, lambda x: (x < 0) | (x > 0xFFFF)), F.raise_error(F.lit("a token id needs more than two bytes")).cast("array<int>")).otherwise(t)
 
 
 def train_bpe_whole(docs: DataFrame, n_merges: int, text: str = "text", every: int = 8) -> list[tuple[str, str]]:

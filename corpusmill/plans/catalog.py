@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import metrics, text as tx
 from corpusmill.functions.expr import bucket, keep, words
-from corpusmill.functions.phrases import mapping, phrases
+from corpusmill.functions.phrases import END, mapping, phrases
 from corpusmill.operators import aggregate, code, dedup, extract, filters, relational, tokens
 from corpusmill.plans import pipelines
 
@@ -92,19 +92,15 @@ _SOFT = phrases("soft")
 _HARD = phrases("hard")
 
 
-def _ascii_only(x):
-    return x.where(~F.col("text").rlike(r"[^\x00-\x7F]"))
-
-
 @_query(
     "web_gate_blacklist",
-    f"""WITH i AS (SELECT * FROM {_injected(_SOFT + _HARD)} WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]')),
+    f"""WITH i AS (SELECT * FROM {_injected(_SOFT + _HARD)}),
     h AS (SELECT doc_id, lang, length(text) AS n, regexp_matches(text, {_q(filters.alternation(_HARD))}) AS hard,
       len(regexp_extract_all(text, {_q(filters.alternation(_SOFT))})) AS soft, {_BUCKET} < 100 AS lucky FROM i)
     SELECT doc_id, hard, CAST(soft AS BIGINT) AS soft, (lang = 'en' AND n > 2500 AND ((NOT hard AND soft <= 3) OR lucky)) AS kept FROM h""",
 )
 def _web_gate_blacklist(s, d):
-    x = _ascii_only(_inject(_t(s, d, "documents"), _SOFT + _HARD))
+    x = _inject(_t(s, d, "documents"), _SOFT + _HARD)
     gate = (F.col("lang") == "en") & (F.length("text") > 2500) & filters.blacklist("text", "doc_id")
     return x.select("doc_id", filters.hard_hit("text").alias("hard"), filters.soft_hits("text").cast("long").alias("soft"), gate.alias("kept"))
 
@@ -209,7 +205,9 @@ def _transcript_quality(s, d):
     return x.select("doc_id", filters.transcript_ok("text").alias("kept"), filters.punctuated("text").alias("punctuated"))
 
 
-_URLS = phrases("url_paths")[:7] + phrases("url_shops") + ["w3schools.com", "://mit.edu", "en.wikipedia.org"]
+_GOOD = "geeksforgeeks.org/python w3schools.com en.wikipedia.org stackexchange ://python.org ://britannica.com ://stanford.edu ://harvard.edu ://mit.edu ://gutenberg.org ://nytimes.com ://history.com".split()
+_GOOD_PAIRS = [("://reddit.com", "comments"), ("quora.com", "answer"), ("scholarpedia.org", "article")]
+_URLS = phrases("url_paths") + phrases("url_shops") + _GOOD + ["/".join(p) for p in _GOOD_PAIRS] + [p for p, _ in _GOOD_PAIRS]
 
 
 def _url_sql() -> str:
@@ -217,7 +215,10 @@ def _url_sql() -> str:
     return f"(SELECT page_id, url || {_list(_URLS)}[CAST(page_id % {n} AS INTEGER) + 1] AS url FROM pages)"
 
 
-@_query("url_filters", f"SELECT page_id, NOT ({_any('lower(url)', phrases('url_paths') + phrases('url_shops'))}) AS allowed, ({_any('url', ['w3schools.com', '://mit.edu', 'en.wikipedia.org'])}) AS known_good FROM {_url_sql()}")
+_PAIRS_SQL = " OR ".join(f"(contains(url, {_q(a)}) AND contains(url, {_q(b)}))" for a, b in _GOOD_PAIRS)
+
+
+@_query("url_filters", f"SELECT page_id, NOT ({_any('lower(url)', phrases('url_paths') + phrases('url_shops'))}) AS allowed, ({_any('url', _GOOD)} OR {_PAIRS_SQL}) AS known_good FROM {_url_sql()}")
 def _url_filters(s, d):
     u = F.concat("url", F.get(F.array(*[F.lit(x) for x in _URLS]), (F.col("page_id") % len(_URLS)).cast("int")))
     return _t(s, d, "pages").select("page_id", u.alias("url")).select("page_id", filters.url_allowed("url").alias("allowed"), filters.url_known_good("url").alias("known_good"))
@@ -225,13 +226,12 @@ def _url_filters(s, d):
 
 @_query(
     "paragraph_flags",
-    """SELECT doc_id, regexp_matches(text, 'https?://\\S+|www\\.\\S+') AS url, regexp_matches(text, '```|<code>.*</code>|[#*-]|\\d+\\.') AS code,
-    regexp_matches(text, '[^A-Za-z0-9_\\s]') AS symbols, len(regexp_extract_all(text, '[A-Za-z0-9_]+')) < 20 AS few_words, len(string_split(text, chr(10))) - 1 >= 5 AS many_lines
-    FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]')""",
+    r"""SELECT doc_id, regexp_matches(text, 'https?://\S+|www\.\S+') AS url, regexp_matches(text, '```|<code>.*</code>|[#*-]|\d+\.') AS code,
+    regexp_matches(text, '[^\p{L}\p{M}\p{Nd}\p{Pc}\s]') AS symbols, len(regexp_extract_all(text, '[\p{L}\p{M}\p{Nd}\p{Pc}]+')) < 20 AS few_words,
+    NOT regexp_matches(regexp_replace(text, '^\s+|\s+$', '', 'g'), '^[A-Z].*[.!?]$') AS no_sentence, len(string_split(text, chr(10))) - 1 >= 5 AS many_lines FROM documents""",
 )
 def _paragraph_flags(s, d):
-    x = _ascii_only(_t(s, d, "documents")).select("doc_id", filters.paragraph_flags("text").alias("f"))
-    return x.select("doc_id", "f.url", "f.code", "f.symbols", "f.few_words", "f.many_lines")
+    return _t(s, d, "documents").select("doc_id", filters.paragraph_flags("text").alias("f")).select("doc_id", "f.*")
 
 
 @_query("python_mentions", "SELECT doc_id, contains(lower(text || CASE WHEN doc_id % 3 = 0 THEN ' PYthon' ELSE '' END), 'python') AS hit FROM documents")
@@ -287,11 +287,11 @@ def _entropy(s, d):
     return _t(s, d, "documents").select("doc_id", F.round(metrics.entropy("text"), 6).alias("entropy"))
 
 
-@_query("tf_idf", "WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS w FROM documents), c AS (SELECT doc_id, w, count(*) AS n FROM w GROUP BY ALL), f AS (SELECT w, count(*) AS df FROM c GROUP BY w HAVING count(*) BETWEEN 3 AND 20), t AS (SELECT doc_id, sum(n) AS m FROM c GROUP BY doc_id) SELECT doc_id, w AS word, round(n / m * ln((SELECT count(*) FROM documents) / df), 9) AS tf_idf FROM c JOIN f USING (w) JOIN t USING (doc_id)")
+@_query("tf_idf", "WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS w FROM documents), c AS (SELECT doc_id, w, count(*) AS n FROM w GROUP BY ALL), f AS (SELECT w, count(*) AS df FROM c GROUP BY w), t AS (SELECT doc_id, sum(n) AS m FROM c GROUP BY doc_id) SELECT doc_id, w AS word, round(n / m * ln((SELECT count(*) FROM documents) / df), 9) AS tf_idf FROM c JOIN f USING (w) JOIN t USING (doc_id)")
 def _tf_idf(s, d):
     docs = _t(s, d, "documents")
     c = docs.select("doc_id", F.explode(F.split("text", " ")).alias("word")).groupBy("doc_id", "word").agg(F.count("*").alias("n"))
-    df = c.groupBy("word").agg(F.count("*").alias("df")).where(F.col("df").between(3, 20))
+    df = c.groupBy("word").agg(F.count("*").alias("df"))
     m = docs.select("doc_id", words("text").alias("m"))
     n = docs.agg(F.count("*").alias("docs"))
     x = c.join(df, "word").join(m, "doc_id").join(F.broadcast(n))  # one row is broadcast
@@ -349,10 +349,39 @@ def _clean_transcript(s, d):
     return _t(s, d, "documents").select("doc_id", tx.clean_transcript("text").alias("text"))
 
 
-@_query("wiki_text", r"""SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(html, '</?[A-Za-z0-9_]+[^>]*?>', '', 'g'), '&nbsp;', ' '), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '''''', '"'), '\n{3,}', chr(10) || chr(10), 'g'), '[ \t]+\n', chr(10), 'g'), '\*(\n\*)+', '*', 'g'), ' ' || chr(9) || chr(10) || chr(13)) AS text
-    FROM (SELECT page_id, regexp_replace(translate(html, '[]{}', ''), '(?s)<!--.*?-->', '', 'g') AS html FROM pages)""")
+_MARKUP = " {{box|a=1|{{inner}}}} [[File:x.png|thumb|of it]] [[Category:All]] [[de:Seite]] [[page|shown]] [[plain]] [http://x.org/a label] [https://y.org] <ref name=a>cited</ref><ref name=b/> <!-- hidden\nline --> ''bold'' &amp;&nbsp;&lt;b&gt; *\n*\n* end \t\n\n\n\nlast"
+_WIKI_STEPS = [
+    (r"(?s)<!--.*?-->", ""),
+    (r"(?i)\[\[(?:File|Image):.*?\]\]", ""),
+    (r"\{\{[^{}]*\}\}", ""),
+    (r"(?s)<ref[^>/]*?>.*?</ref>", ""),
+    (r"<ref[^>]*/>", ""),
+    (r"</?[\p{L}\p{M}\p{Nd}\p{Pc}]+[^>]*?>", ""),
+    (r"\[\[([^|\]]*\|)?([^\]]+)\]\]", r"\2"),
+    (r"\[https?://[^\s\]]+(\s+([^\]]+))?\]", r"\2"),
+    ("&nbsp;", " "),
+    ("&amp;", "&"),
+    ("&lt;", "<"),
+    ("&gt;", ">"),
+    ("''", '"'),
+    (r"\[\[Category:[^\]]+\]\]", ""),
+    (r"(?i)\[\[[a-z\-]+:[^\]]+\]\]", ""),
+    (r"\n{3,}", "\n\n"),
+    (r"[ \t]+\n", "\n"),
+    (r"\*(?:\n\*)+", "*"),
+    (r"^\s+|\s+$", ""),
+]
+
+
+def _wiki_sql(t: str) -> str:
+    for a, b in _WIKI_STEPS:
+        t = f"regexp_replace({t}, {_q(a)}, {_q(b)}, 'g')"
+    return t
+
+
+@_query("wiki_text", f"SELECT page_id, {_wiki_sql('html || ' + _q(_MARKUP))} AS text FROM pages")
 def _wiki_text(s, d):
-    return _t(s, d, "pages").select("page_id", tx.wikitext(F.translate("html", "[]{}", "")).alias("text"))
+    return _t(s, d, "pages").select("page_id", tx.wikitext(F.concat("html", F.lit(_MARKUP))).alias("text"))
 
 
 @_query("html_paragraphs", "SELECT page_id, array_to_string(list_transform(string_split(html, '<p>')[2:], lambda p: string_split(p, '</p>')[1]), chr(10)) AS text FROM pages")
@@ -386,12 +415,9 @@ def _question_links(s, d):
     return _t(s, d, "pages").select("page_id", F.explode(extract.question_links(t)).alias("link"))
 
 
-@_query("document_explode", "SELECT source, text FROM (SELECT source, trim(unnest(string_split(t, '<|endoftext|>'))) AS text FROM (SELECT source, string_agg(substr(replace(text, chr(10), ' '), 1, 80), '<|endoftext|>') AS t FROM documents GROUP BY source)) WHERE text <> ''")
+@_query("document_explode", f"SELECT text FROM (SELECT unnest(string_split(text || '{END}' || chr(10) || '{END}' || lang, '{END}')) AS text FROM documents) WHERE regexp_replace(text, '^\\s+|\\s+$', '', 'g') <> ''")
 def _document_explode(s, d):
-    x = _t(s, d, "documents").select("source", F.substring(F.translate("text", "\n", " "), 1, 80).alias("text"))
-    x = x.groupBy("source").agg(F.array_join(F.collect_list("text"), "<|endoftext|>").alias("value"))  # 80 characters a document, to have something to split
-    docs = x.select("source", F.explode(F.split("value", r"<\|endoftext\|>")).alias("text"))
-    return docs.select("source", F.trim("text").alias("text")).where("text <> ''")
+    return extract.documents(_t(s, d, "documents").select(F.concat("text", F.lit(END + "\n" + END), "lang").alias("value")))
 
 
 # ------------------------------------------------------------------ aggregation
@@ -431,10 +457,10 @@ def _corpus_totals(s, d):
     return aggregate.corpus_totals(_t(s, d, "documents"), "lang", "source")
 
 
-@_query("bigrams", "SELECT first, second, count(*) AS n FROM (SELECT doc_id, w AS first, lead(w) OVER (PARTITION BY doc_id ORDER BY i) AS second FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) AS i FROM documents)) WHERE second IS NOT NULL GROUP BY ALL HAVING count(*) > 2")
+@_query("bigrams", "SELECT first, second, count(*) AS n FROM (SELECT doc_id, w AS first, lead(w) OVER (PARTITION BY doc_id ORDER BY i) AS second FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) AS i FROM documents)) WHERE second IS NOT NULL GROUP BY ALL")
 def _bigrams(s, d):
     x = _t(s, d, "documents").select(F.split("text", " ").alias("tokens"))
-    return aggregate.pair_counts(x).where("n > 2")
+    return aggregate.pair_counts(x)
 
 
 @_query("weighted_pairs", "WITH w AS (SELECT w, count(*) AS f FROM (SELECT unnest(string_split(text, ' ')) AS w FROM documents) WHERE w <> '' GROUP BY w), p AS (SELECT w, f, unnest(string_split(w || ' ', '')) AS c, generate_subscripts(string_split(w || ' ', ''), 1) AS i FROM w) SELECT first, second, CAST(sum(f) AS BIGINT) AS n FROM (SELECT f, c AS first, lead(c) OVER (PARTITION BY w ORDER BY i) AS second FROM p) WHERE second IS NOT NULL GROUP BY ALL")
@@ -508,7 +534,7 @@ def _simhash(s, d):
     return dedup.simhash_bits(_t(s, d, "documents"))
 
 
-@_query("simhash_pairs")
+@_query("simhash_pairs", f"WITH h AS (SELECT simhash AS s, min(doc_id) AS id FROM ({ORACLES['simhash']}) WHERE contains(simhash, '1') GROUP BY simhash) SELECT a.id AS a, b.id AS b, CAST(hamming(a.s, b.s) AS INTEGER) AS distance FROM h a JOIN h b ON a.id < b.id WHERE hamming(a.s, b.s) <= 3")
 def _simhash_pairs(s, d):
     return dedup.simhash_pairs(dedup.simhash_bits(_t(s, d, "documents")))
 
@@ -535,9 +561,9 @@ def _prompt_pairs(s, d):
     return relational.prompt_pairs(_t(s, d, "conversations"))
 
 
-@_query("prompt_cross", "SELECT u.conv_id, u.prompt, a.completion FROM (SELECT conv_id, substr(text, 1, 20) AS prompt FROM conversations WHERE role = 'user') u JOIN (SELECT conv_id, substr(text, 1, 20) AS completion FROM conversations WHERE role = 'assistant') a ON u.conv_id = a.conv_id")
+@_query("prompt_cross", "SELECT u.conv_id, u.prompt, a.completion FROM (SELECT conv_id, text AS prompt FROM conversations WHERE role = 'user') u JOIN (SELECT conv_id, text AS completion FROM conversations WHERE role = 'assistant') a ON u.conv_id = a.conv_id")
 def _prompt_cross(s, d):
-    part = lambda r: F.collect_list(F.when(F.col("role") == r, F.substring("text", 1, 20)))
+    part = lambda r: F.collect_list(F.when(F.col("role") == r, F.col("text")))
     x = _t(s, d, "conversations").groupBy("conv_id").agg(part("user").alias("prompts"), part("assistant").alias("completions"))  # a row is one conversation, as in its file
     return extract.expand_prompts(x)
 
@@ -557,11 +583,20 @@ def _question_answers(s, d):
     return x.select("id", "question", F.size("answers").cast("long").alias("n_answers"), F.array_join(F.map_values("answers"), "|").alias("answers"))
 
 
-@_query("link_graph", "WITH RECURSIVE e AS (SELECT n_nationkey AS src, (n_nationkey * 7 + 3) % 25 AS dst FROM nation UNION SELECT n_nationkey, (n_nationkey + 5) % 25 FROM nation), r(node, depth) AS (SELECT 0, 0 UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.node WHERE r.depth < 3) SELECT CAST(node AS BIGINT) AS node, CAST(min(depth) AS INTEGER) AS depth FROM r GROUP BY node")
+@_query(
+    "link_graph",
+    """WITH RECURSIVE n AS (SELECT count(*) AS n FROM pages), e AS (SELECT page_id AS src, (page_id * 7 + 3) % n AS dst FROM pages, n UNION SELECT page_id, (page_id + 5) % n FROM pages, n),
+    v AS (SELECT page_id AS node FROM pages WHERE length(html) > 40),
+    r(node, depth) AS (SELECT page_id, 0 FROM pages WHERE page_id < 3 AND length(html) > 40 UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.node JOIN v ON v.node = e.dst WHERE r.depth < 4)
+    SELECT CAST(node AS BIGINT) AS node, CAST(min(depth) AS INTEGER) AS depth FROM r GROUP BY node""",
+)
 def _link_graph(s, d):
-    n = _t(s, d, "nation").select(F.col("n_nationkey").cast("long").alias("src"))
-    e = n.select("src", ((F.col("src") * 7 + 3) % 25).alias("dst")).unionByName(n.select("src", ((F.col("src") + 5) % 25).alias("dst")))
-    return relational.reachable(e, s.range(1).select(F.col("id").alias("node")), 3)
+    p = _t(s, d, "pages")
+    n = F.broadcast(p.agg(F.count("*").alias("n")))  # one row is broadcast
+    x = p.select(F.col("page_id").cast("long").alias("src")).join(n)
+    e = x.select("src", ((F.col("src") * 7 + 3) % F.col("n")).alias("dst")).unionByName(x.select("src", ((F.col("src") + 5) % F.col("n")).alias("dst")))
+    visits = p.select(F.col("page_id").cast("long").alias("node"), F.length("html").alias("n_visits"))
+    return relational.reachable(e, visits.where("node < 3"), 4, visits, 40)
 
 
 @_query("hash_sample", f"SELECT doc_id, {_BUCKET} AS bucket FROM documents WHERE {_BUCKET} < 500")
@@ -630,10 +665,16 @@ def _normalize_punctuation(s, d):
     return _t(s, d, "documents").select("doc_id", tx.normalize_punctuation("text").alias("text"))
 
 
+def _as_code():
+    """A module whose docstring and comments are the whole text."""
+    doc = F.translate("text", "\"\\", "''")
+    module = F.get(F.array(*[F.lit(x) for x in ("numpy", "ctypes", "json", "torch.nn")]), (F.col("doc_id") % 4).cast("int"))
+    return F.concat(F.lit('"""'), doc, F.lit('"""\nimport '), module, F.lit("\n# "), F.replace(doc, F.lit("\n"), F.lit("\n# ")), F.lit("\nx = 1"))
+
+
 @_query("code_filters")
 def _code_filters(s, d):
-    lines = F.concat(F.lit('"""Doc."""\nimport '), F.get(F.array(*[F.lit(x) for x in ("numpy", "ctypes", "json", "torch.nn")]), (F.col("doc_id") % 4).cast("int")), F.repeat(F.lit("\n# note\nx = 1"), (F.col("doc_id") % 40).cast("int")))
-    x = _t(s, d, "documents").select("doc_id", lines.alias("content"), F.concat("source", F.lit(".py")).alias("path"))
+    x = _t(s, d, "documents").select("doc_id", _as_code().alias("content"), F.concat("source", F.lit(".py")).alias("path"))
     return x.select("doc_id", code.clean_code("content").alias("clean"), code.good_libraries("content").alias("good"), code.code_file("path", "content").alias("sized"), code.ml_code("content").alias("ml"))
 
 

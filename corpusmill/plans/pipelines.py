@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as tx
 from corpusmill.operators import aggregate, dedup, filters, relational
-from corpusmill.sources import readers
+from corpusmill.sources import readers, writers
+from corpusmill.sources.scratch import cut
 
 
 def clean_archive(records: DataFrame, keep_headings: bool = False) -> DataFrame:
     """url, contents of archive records (see readers.web_archive): cheap tests on the header first, one shuffle for the URLs."""
     x = records.where(filters.url_allowed("url") & filters.language_is("lan"))
-    x = dedup.first_by(x, dedup.url_key("url"), "contents") if "page_id" not in x.columns else dedup.dedup_urls(x)
+    x = dedup.dedup_urls(x, order="page_id" if "page_id" in x.columns else "contents")
     x = x.withColumn("contents", tx.nfkc(filters.good_paragraphs("contents", keep_headings=keep_headings)))
     x = x.where(filters.page_gate("contents")).withColumn("contents", tx.page_characters(filters.without_runons("contents")))
     return x.where(filters.plain_characters("contents")).withColumn("contents", tx.sentence_spacing("contents"))
@@ -38,6 +40,31 @@ def clean_web_archive(spark: SparkSession, path: str) -> DataFrame:
     return clean_archive(readers.web_archive(spark, path))
 
 
+def rewrite_archives(spark: SparkSession, path: str, out: str) -> DataFrame:
+    """Cleaned copies of the archives below a path, those that were not done before, and what is there now.
+
+    `out` keeps the cleaned rows (file, url, contents) and a manifest of finished files; a run that
+    ended early is taken up where it stopped. Archives are not deleted.
+    """
+    files = readers.file_list(spark, path, "").select(F.col("path").alias("file"))
+    try:
+        done = spark.read.schema("file string").parquet(f"{out}/done")
+    except AnalysisException:  # the first run
+        done = files.limit(0)
+    todo = cut(relational.not_done(files, done, "file"))
+    names = [r["file"] for r in todo.collect()]  # one row an archive, as in a manifest
+    if names:
+        x = clean_archive(readers.web_archive(spark, names))
+        x.select("url", "contents").write.mode("append").parquet(f"{out}/rows")
+        writers.manifest(todo, f"{out}/done")
+    return spark.read.schema("url string, contents string").parquet(f"{out}/rows")
+
+
+def good_copy(frames: list[DataFrame], path: str, text: str = "text") -> None:
+    """Several corpora as one, its characters made good."""
+    relational.union_of(frames).withColumn(text, tx.make_good(text)).write.parquet(path)
+
+
 def prepared_corpus(docs: DataFrame, key: str = "doc_id", good: str = tx.ASCII_GOOD) -> DataFrame:
     """Transcripts cleaned by dictionary and of rare characters, one row a distinct text."""
     rare = aggregate.rare_chars(docs, good=good).agg(F.coalesce(F.array_join(F.collect_list("c"), ""), F.lit("")).alias("_rare"))  # one row: the alphabet bounds it

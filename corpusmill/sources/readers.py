@@ -6,13 +6,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusmill.functions.expr import strip
+from corpusmill.functions.expr import keep, strip
 from corpusmill.functions.phrases import END
+from corpusmill.functions.text import strip_accents
 
 #: Names of hub data sets and where their shards lie below a root.
 ALIASES = {"web": "web/*.parquet", "code": "code/*.parquet", "wiki": "wiki/*.xml", "qa": "qa/*.csv", "news": "news/*.json"}
 
 
+def hub(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """The shards of a named data set below a root, by the format of its alias."""
+    path = f"{root.rstrip('/')}/{ALIASES[name]}"
+    readers = {"parquet": parquet, "xml": wiki_dump, "csv": question_csv, "json": news_json}
+    return readers[path.rsplit(".", 1)[1]](spark, path)
+
+
 def parquet(spark: SparkSession, path: str, *columns: str, skip_corrupt: bool = False) -> DataFrame:
     """Parquet shards; unreadable files are passed over if asked."""
     df = spark.read.option("ignoreCorruptFiles", str(skip_corrupt).lower()).parquet(path)
@@ -108,8 +116,21 @@ def whole_files(spark: SparkSession, path: str, pattern: str | None = None, recu
 
 
 def books(spark: SparkSession, path: str) -> DataFrame:
-    """Files that say within 10,000 characters that they are English."""
-    return whole_files(spark, path).where(F.contains(F.substring("text", 1, 10_000), F.lit("Language: English")))
+    """Files that say within 10,000 characters that they are English, in ASCII letters where there are any."""
+    x = whole_files(spark, path).where(F.contains(F.substring("text", 1, 10_000), F.lit("Language: English")))
+    return x.withColumn("text", strip_accents(F.col("text")))
+
+
+def text_set(spark: SparkSession, path: str, most_files: int | None = None, as_dict: bool = False) -> DataFrame:
+    """path, text of the first files by path; as_dict: one row with a map of name to text, for small sets only."""
+    x = whole_files(spark, path)
+    x = x if most_files is None else x.orderBy("path").limit(most_files)
+    return x if not as_dict else x.agg(F.map_from_entries(F.collect_list(F.struct(F.substring_index("path", "/", -1), "text"))).alias("texts"))
+
+
+def text_stats(texts: DataFrame) -> DataFrame:
+    """n_files, n_chars of a text set."""
+    return texts.agg(F.count("*").alias("n_files"), F.coalesce(F.sum(F.length("text")), F.lit(0)).cast("long").alias("n_chars"))
 
 
 def file_list(spark: SparkSession, path: str, suffix: str = ".py") -> DataFrame:
@@ -123,9 +144,21 @@ def url_manifest(spark: SparkSession, path: str, prefix: str = "") -> DataFrame:
     return spark.read.text(path).select(strip("value").alias("v")).where("v <> ''").select(F.concat(F.lit(prefix), "v").alias("url"))
 
 
-def corpus_text(spark: SparkSession, path: str, lower: bool = True, end: bool = True, newlines: bool = False) -> DataFrame:
-    """path, text: files lower-cased, without end marks, newlines as spaces, as asked."""
+def lines(spark: SparkSession, path: str) -> DataFrame:
+    """value: the lines of text files, such as blog exports whose fields are not quoted."""
+    return spark.read.text(path)
+
+
+def segment_urls(spark: SparkSession, path: str, prefix: str) -> DataFrame:
+    """url: the files below a folder of segments, by the last four parts of their paths (folder, segment, kind, file)."""
+    p = F.split("path", "/")
+    return file_list(spark, path, "").select(F.concat(F.lit(prefix), F.array_join(F.slice(p, F.size(p) - 3, F.lit(4)), "/")).alias("url"))
+
+
+def corpus_text(spark: SparkSession, path: str, lower: bool = True, end: bool = True, newlines: bool = False, share: float = 1.0) -> DataFrame:
+    """path, text: files lower-cased, without end marks, newlines as spaces, as asked; a share of the files, always the same, if below 1."""
     x = whole_files(spark, path)
+    x = x if share >= 1 else x.where(keep("path", share))
     c = F.lower("text") if lower else F.col("text")
     c = F.replace(c, F.lit(END), F.lit("")) if end else c
     return x.select("path", (c if newlines else F.translate(c, "\n", " ")).alias("text"))

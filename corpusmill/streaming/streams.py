@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from corpusmill.operators.dedup import url_key
+from corpusmill.operators.dedup import or_row, row_hash, url_key
 from corpusmill.operators.filters import web_gate
 
 
@@ -21,8 +21,8 @@ def filtered(stream: DataFrame, **gate) -> DataFrame:
 
 
 def unique_urls(stream: DataFrame, url: str = "url", time: str | None = None, delay: str = "7 days") -> DataFrame:
-    """First row of every URL. With a time column the state is bounded by the delay."""
-    x = stream.withColumn("_k", url_key(url))
+    """First row of every URL; rows without one stay, repeated ones once, as in batch. With a time column the state is bounded by the delay."""
+    x = stream.withColumn("_k", or_row(url_key(url), row_hash(stream)))
     if time:
         return x.withWatermark(time, delay).dropDuplicatesWithinWatermark(["_k"]).drop("_k")
     return x.dropDuplicates(["_k"]).drop("_k")
