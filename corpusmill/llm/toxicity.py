@@ -9,7 +9,8 @@ say nothing of the label weigh little, but none is cut. Vectors have length 1, a
 are cosines.
 
 The index holds each term's postings in blocks of examples, with the largest weight of the term in
-each block. For a text, the sum of query weight times block maximum bounds every cosine in a block.
+each block; terms of many examples have full rows, which are added up first. For a text, the largest
+such sum in a block and the sum of query weight times block maximum bound every cosine in it.
 The HEAD blocks of the highest bounds are scored in full, then every block whose bound exceeds the
 K-th best cosine so far; so the K nearest are exact (ties go to the earlier example). Votes are
 weighted by 1 / (distance + EPS) and by the classes' shares among all labelled rows, and become
@@ -41,14 +42,23 @@ POSITIVES, NEGATIVES, EXAMPLE_CHARS = 1024, 1024, 64_000_000
 K, EPS, BLOCK, HEAD, FOLDS = 24, 0.05, 64, 6, 4
 PREFIX, Z = 4, 4.0
 _WORD = re.compile(r"[^\W\d_]{2,}")
+#: The same for texts of one-byte code points, in lower case.
+_LATIN, _NOT_LATIN = re.compile(r"[a-zªµºß-öø-ÿ]{2,}"), re.compile(r"[^\x00-\xff]")
+#: Terms of this share of the examples have their weights in full rows.
+DENSE = 1 / 16
 #: Words whose terms a worker keeps.
 CACHE = 200_000
 
 
+def split(text: str) -> list[str]:
+    low = text.lower()
+    return (_WORD if _NOT_LATIN.search(low) else _LATIN).findall(low)
+
+
 def words(text: str) -> Counter:
     """Counts of a text's terms: its words, and the beginnings of its words of more than PREFIX letters."""
     found: Counter = Counter()
-    for w, n in Counter(_WORD.findall(text.lower())).items():
+    for w, n in Counter(split(text)).items():
         found[w] += n
         if len(w) > PREFIX:
             found[f"{w[:PREFIX]}-"] += n
@@ -93,6 +103,14 @@ class Index:
         self.blocks = max(1, -(-len(full) // BLOCK))
         rows = np.concatenate([np.full(len(vectors[i][0]), r) for r, i in enumerate(full)]).astype(np.int64) if full else np.zeros(0, np.int64)
         cols, vals = (np.concatenate([vectors[i][k] for i in full]) if full else np.zeros(0, (np.int64, float)[k]) for k in (0, 1))
+        times = np.bincount(cols, minlength=len(names))
+        often = np.flatnonzero(times > max(1, DENSE * len(full)))
+        self.row_of = np.full(len(names), -1)
+        self.row_of[often] = np.arange(len(often))
+        self.rows = np.zeros((len(often), self.blocks * BLOCK))
+        of = self.row_of[cols]
+        self.rows[of[of >= 0], rows[of >= 0]] = vals[of >= 0]
+        cols, rows, vals = cols[of < 0], rows[of < 0], vals[of < 0]
         order = np.lexsort((rows, cols))
         cols, self.post_row, self.post_val = cols[order], rows[order], vals[order]
         # an entry is the run of a term's postings in one block
@@ -114,7 +132,7 @@ class Index:
     def _query(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         bag: dict[int, int] = {}
         of = self._of
-        for w, n in Counter(_WORD.findall(text.lower())).items():
+        for w, n in Counter(split(text)).items():
             got = of.get(w)
             if got is None:
                 got = tuple(i for i in (self.terms.get(w), self.terms.get(f"{w[:PREFIX]}-") if len(w) > PREFIX else None) if i is not None)
@@ -125,29 +143,46 @@ class Index:
                 bag[i] = bag.get(i, 0) + n
         return self._vector(bag)
 
-    def nearest(self, t: np.ndarray, v: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and cosines of the k nearest examples, nearest first; exact."""
+    def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int = K) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Rows and cosines of the k nearest examples of each query, nearest first; exact."""
+        often = np.zeros((len(queries), len(self.rows)))
+        for i, (t, v) in enumerate(queries):
+            full = self.row_of[t]
+            often[i, full[full >= 0]] = v[full >= 0]
+        first = often @ self.rows if len(self.rows) else np.zeros((len(queries), self.blocks * BLOCK))
+        return [self._nearest(t, v, cos, k) for (t, v), cos in zip(queries, first, strict=True)]
+
+    def _nearest(self, t: np.ndarray, v: np.ndarray, cos: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """nearest() of one query, from the sums over the terms that have full rows."""
+        rare = self.row_of[t] < 0
+        t, v = t[rare], v[rare]
         lo, hi = self.term_entry[t], self.term_entry[t + 1]
-        entry = _ranges(lo, hi)
-        w = np.repeat(v, hi - lo)
+        entry, w = _ranges(lo, hi), np.repeat(v, hi - lo)
         block = self.entry_block[entry]
-        bound = np.bincount(block, w * self.entry_max[entry], self.blocks)
+        bound = cos.reshape(self.blocks, BLOCK).max(1) + np.bincount(block, w * self.entry_max[entry], self.blocks)
         order = np.argsort(-bound, kind="stable")
-        cos = np.zeros(self.blocks * BLOCK)
 
         def score(blocks: np.ndarray) -> None:
             now = np.zeros(self.blocks, bool)
             now[blocks] = True
-            ok = now[block]
+            ok = np.flatnonzero(now[block])
             a, b = self.entry_post[entry[ok]], self.entry_post[entry[ok] + 1]
             post = _ranges(a, b)
-            cos[:] += np.bincount(self.post_row[post], np.repeat(w[ok], b - a) * self.post_val[post], len(cos))
+            np.add(cos, np.bincount(self.post_row[post], np.repeat(w[ok], b - a) * self.post_val[post], len(cos)), out=cos)
 
         score(order[:HEAD])
-        least = np.partition(cos, -k)[-k] if k < len(cos) else 0.0
+        done = cos.reshape(self.blocks, BLOCK)[order[:HEAD]].ravel()
+        least = np.partition(done, -k)[-k] if k <= len(done) else 0.0
         rest = order[HEAD:]
-        score(rest[bound[rest] >= max(least - 1e-9, 1e-300)])
+        rest = rest[bound[rest] >= max(least - 1e-9, 1e-300)]
+        if len(rest):
+            score(rest)
+        # blocks that were left out have parts of cosines only, all of them below the k-th best
+        out = np.setdiff1d(order[HEAD:], rest, assume_unique=True)
+        cos.reshape(self.blocks, BLOCK)[out] = 0
         rows = np.flatnonzero(cos > 0)
+        if len(rows) > 4 * k:
+            rows = rows[cos[rows] >= np.partition(cos[rows], -k)[-k] - 1e-8]
         best = np.lexsort((rows, -np.round(cos[rows], 9)))[:k]
         return rows[best], cos[rows[best]]
 
@@ -161,8 +196,8 @@ class Index:
         for f in range(FOLDS):
             rest = [i for i in range(len(bags)) if i % FOLDS != f]
             other = Index([bags[i] for i in rest], [labels[i] for i in rest], rest, self.share, n_docs, df, calibrate=False)
-            for i in range(f, len(bags), FOLDS) if other.usable else ():
-                rows, cos = other.nearest(*other._vector({other.terms[w]: n for w, n in bags[i].items() if w in other.terms}))
+            mine = range(f, len(bags), FOLDS) if other.usable else ()
+            for i, (rows, cos) in zip(mine, other.nearest([other._vector({other.terms[w]: n for w, n in bags[i].items() if w in other.terms}) for i in mine]) if mine else (), strict=True):
                 x[i] = other._vote(rows, cos) if len(rows) else self.share
         n1 = y.sum()
         weight = np.where(y == 1, self.share / n1, (1 - self.share) / (len(y) - n1))
@@ -176,16 +211,19 @@ class Index:
         self.at = np.array([z for p in pools for z in (p[2], p[3])] or [0.0])
         self.p = np.array([z for p in pools for z in (p[0] / p[1],) * 2] or [self.share])
 
-    def score(self, text: str) -> tuple[float, list[int]]:
-        """Probability of toxicity and the ids of the five nearest examples."""
+    def scores(self, texts: list[str]) -> list[tuple[float, list[int]]]:
+        """Probability of toxicity and the ids of the five nearest examples, for each text."""
         if not self.usable:
-            return self.share, []
-        rows, cos = self.nearest(*self._query(text))
-        if not len(rows):
-            return self.share, []
-        vote = self._vote(rows, cos)
-        # the map's ends get a little of the vote, so that no score is a bare 0 or 1
-        return float(0.98 * np.interp(vote, self.at, self.p) + 0.02 * vote), self.ids[rows[:5]].tolist()
+            return [(self.share, [])] * len(texts)
+        out = []
+        for rows, cos in self.nearest([self._query(t) for t in texts]):
+            if not len(rows):
+                out.append((self.share, []))
+                continue
+            vote = self._vote(rows, cos)
+            # the map's ends get a little of the vote, so that no score is a bare 0 or 1
+            out.append((float(0.98 * np.interp(vote, self.at, self.p) + 0.02 * vote), self.ids[rows[:5]].tolist()))
+        return out
 
     def __getstate__(self):
         return self.__dict__ | {"_of": {}}
@@ -200,7 +238,7 @@ def _term_counts(terms):
         for b in batches:
             for text in b.column("text"):
                 got: set[int] = set()
-                for w in set(_WORD.findall((text.as_py() or "").lower())):
+                for w in set(split(text.as_py() or "")):
                     ids = of.get(w)
                     if ids is None:
                         ids = tuple(i for i in (known.get(w), known.get(f"{w[:PREFIX]}-") if len(w) > PREFIX else None) if i is not None)
@@ -248,9 +286,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Data
         x = index.value
         for b in batches:
             text = b.column("text")
-            for i in range(0, len(text), 512):
-                got = [x.score(t.as_py() or "") for t in text.slice(i, 512)]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, 512), pa.array([g[0] for g in got]), pa.array([g[1] for g in got], pa.list_(pa.int64()))], ["doc_id", "score", "evidence"])
+            for i in range(0, len(text), 128):
+                got = x.scores([t.as_py() or "" for t in text.slice(i, 128)])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, 128), pa.array([g[0] for g in got]), pa.array([g[1] for g in got], pa.list_(pa.int64()))], ["doc_id", "score", "evidence"])
 
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), "doc_id long, score double, evidence array<long>")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
