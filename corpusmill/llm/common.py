@@ -7,8 +7,9 @@ whole documents, so that memory is bounded by the longest document and not by a
 from __future__ import annotations
 
 import ctypes
+import functools
 import os
-import uuid
+import threading
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,6 +18,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusmill.sources.scratch import cut
+
 #: ASCII white space that separates words: space, tab, \n, \v, \f, \r.
 SPACE = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 IS_SPACE = np.zeros(256, bool)
@@ -31,30 +34,45 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
+class _Open(threading.local):
+    """The tables that the operators at work on this thread have written, one list an operator."""
+
+    def __init__(self):
+        self.lists: list[list[DataFrame]] = []
 
-    Where that is unset, a folder below the warehouse in local mode; on a cluster that is an
-    error, as no folder of one machine would do.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
-    return f"{root.rstrip('/')}/corpusmill"
+
+_OPEN = _Open()
 
 
 def materialize(df: DataFrame) -> DataFrame:
     """Cut the lineage with a table in the shared folder.
 
-    The files survive the loss of any executor. They stay until the folder is
-    cleaned by whoever owns it, because later stages may read them again.
+    The files survive the loss of any executor. A tidied() operator drops them when its result is
+    written; others stay until the folder is cleaned by whoever owns it.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = cut(df)
+    if _OPEN.lists:
+        _OPEN.lists[-1].append(out)
+    return out
+
+
+def tidied(operator):
+    """The operator, its result written to the shared folder and the tables that it wrote on the way dropped."""
+
+    @functools.wraps(operator)
+    def run(*args, **kwargs):
+        _OPEN.lists.append([])
+        try:
+            out = cut(operator(*args, **kwargs))
+        finally:
+            tables = _OPEN.lists.pop()
+            for t in tables:
+                drop_table(t)
+        if _OPEN.lists:
+            _OPEN.lists[-1].append(out)
+        return out
+
+    return run
 
 
 def drop_table(df: DataFrame) -> None:
@@ -66,6 +84,29 @@ def drop_table(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Keys of rows without a doc_id are at least this; no table has such ids.
+NO_ID = 1 << 62
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with doc_id BIGINT, where it is null a hash of the row beyond NO_ID, so that every row can be named; equal rows have equal keys."""
+    row = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.withColumn("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID) + F.pmod(row, F.lit(1 << 61))))
+
+
+def unkeyed(docs: DataFrame, like: DataFrame) -> DataFrame:
+    """The columns of like, with null for the keys that keyed() made."""
+    return docs.withColumn("doc_id", F.when(F.col("doc_id") < NO_ID, F.col("doc_id")).cast(like.schema["doc_id"].dataType)).select(*[f"`{c}`" for c in like.columns])
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, or one made of it that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def lean(run):
     """run (a function of record batches), giving memory back to the system when its partition ends.
 

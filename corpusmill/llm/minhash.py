@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import U64, bloom_of, connected_components, drop_table, lean, materialize, mix, shingle_sets, slices, table, text_buffer
+from corpusmill.llm.common import U64, bloom_of, connected_components, lean, materialize, mix, shingle_sets, slices, table, text_buffer, tidied
 
 BANDS, ROWS = 40, 5
 _FULL = U64(2**64 - 1)
@@ -216,6 +216,7 @@ def _across(left: DataFrame, sets: DataFrame, tested: DataFrame, num: int, den:
     return direct.unionByName(verify(pairs.select("a", "b"), sets, num, den))
 
 
+@tidied
 def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: documents linked where den * |A and B| >= num * |A or B|."""
     spark = docs.sparkSession
@@ -275,8 +276,6 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
         final = whole.join(joined.select(F.col("id").alias("component"), F.col("component").alias("top")), "component", "left").select("id", F.coalesce("top", "component").alias("component"))
     cls = reps.select("set_key", "id").join(final, "id", "left").select("set_key", F.coalesce("component", "id").alias("component_id"))
     out = sk.drop("bands").join(cls, "set_key", "left").select("doc_id", "n_shingles", F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
-    for t in (shared, main, links):
-        drop_table(t)
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 

@@ -8,11 +8,12 @@ Minimum covariance determinant: of the subsets that hold the share H of a group,
 covariance has the least determinant. It is sought from STARTS starts in each group: medians and
 median absolute deviations, and small subsets chosen by hash. A concentration step keeps the share
 H of the documents that lie nearest and takes their mean and covariance. All starts take FIRST
-steps; the best of each group then goes on until no group's determinant falls any more.
+steps; the best of each group then goes on until no group's log determinant moves by STILL any more.
 
 One formula serves groups of every size: PRIOR rows with the estimate of the group's language are
 added to its moments, and PRIOR rows with the estimate of the whole corpus to a language's. So a
-group of few documents leans on its language, and one of many is on its own.
+group of few documents leans on its language, and one of many is on its own. Groups, languages and
+the corpus take their steps together, each with the last estimate of what is around it.
 
 Features are integers (1/1024 units) and sums are exact, so that the result does not depend on the
 order in which rows are added. Distances are ranked in fine logarithmic bins, and the subset is the
@@ -30,17 +31,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import materialize, table
+from corpusmill.llm.common import materialize, table, tidied
 
 WS = "\\x20\\x09-\\x0D"
 SYMBOLS = "#*$%&|<>"
 UNIT = 1024
 #: Share of a group that an estimate rests on, starts, steps that all of them take, most steps of the best.
-H, STARTS, FIRST, MOST = 0.75, 4, 2, 25
+H, STARTS, FIRST, MOST, STILL = 0.75, 4, 2, 8, 0.01
 #: Rows with the estimate of the next larger group that count in a group's moments; rows of a start by hash.
 PRIOR, START_ROWS = 50, 12
 #: Parts into which the rows of a group are split wherever they meet its estimates.
-SALTS = 32
+SALTS = 16
 FEATURES = ("f_length", "f_word", "f_symbols", "f_lines", "f_repeat")
 #: Per feature: least standard deviation, in feature units.
 FLOOR = (0.8, 0.12, 0.06, 0.08, 0.08)
@@ -107,34 +108,37 @@ _FIT = [*[f"m{i}" for i in range(_P)], *[f"l{i}{j}" for i, j in _PAIRS]]
 _SUMS = [*[f"s{i}" for i in range(_P)], *[f"q{i}{j}" for i, j in _PAIRS]]
 
 
-def _sums() -> list[Column]:
-    """Count, sums and sums of products: exact, as integers."""
-    f = [F.col(x).cast("long") for x in FEATURES]
-    return [F.count("*").alias("n"), *[F.sum(f[i]).alias(f"s{i}") for i in range(_P)], *[F.sum(f[i] * f[j]).alias(f"q{i}{j}") for i, j in _PAIRS]]
+_COV = [f"c{i}{j}" for i, j in _PAIRS]
+
+
+#: SQL of the count, sums and sums of products of rows: exact, as integers.
+_OF_ROWS = ", ".join(["count(*) AS n", *[f"sum(cast({x} AS BIGINT)) AS s{i}" for i, x in enumerate(FEATURES)], *[f"sum(cast({FEATURES[i]} AS BIGINT) * cast({FEATURES[j]} AS BIGINT)) AS q{i}{j}" for i, j in _PAIRS]])
 
 
 def _estimate(m: DataFrame, prior: DataFrame | None, *keys: str) -> DataFrame:
     """keys, mean m_i, covariance c_ij, Cholesky factor l_ij of CONSISTENCY * covariance + floor, and its log determinant, from sums."""
-    m = m.withColumns({c: F.col(c).cast("double") for c in ("n", *_SUMS)})
+    w = "cast(0 AS DOUBLE)"
     if prior is not None:
-        m = m.join(prior, "g")
-        m = m.withColumns({f"q{i}{j}": F.col(f"q{i}{j}") + PRIOR * (F.col(f"pc{i}{j}") + F.col(f"pm{i}") * F.col(f"pm{j}")) for i, j in _PAIRS})
-        m = m.withColumns({f"s{i}": F.col(f"s{i}") + PRIOR * F.col(f"pm{i}") for i in range(_P)} | {"n": F.col("n") + PRIOR})
-    m = m.withColumns({f"m{i}": F.col(f"s{i}") / F.col("n") for i in range(_P)})
-    m = m.withColumns({f"c{i}{j}": F.col(f"q{i}{j}") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}") for i, j in _PAIRS})
-    for i, j in _PAIRS:
-        x = CONSISTENCY * F.col(f"c{i}{j}") + (F.lit((FLOOR[i] * UNIT) ** 2) if i == j else F.lit(0.0)) - sum((F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j)), F.lit(0.0))
-        m = m.withColumn(f"l{i}{j}", F.sqrt(F.greatest(x, F.lit(1.0))) if i == j else x / F.col(f"l{j}{j}"))
-    det = sum((F.ln(f"l{i}{i}") for i in range(1, _P)), F.ln("l00"))
-    return m.select(*keys, *_FIT, *[f"c{i}{j}" for i, j in _PAIRS], F.round(det, 9).alias("det"))
-
-
-def _distance() -> Column:
-    """Squared Mahalanobis distance by forward substitution."""
-    y: list[Column] = []
+        # groups with nothing around them have no row in prior
+        m, w = m.join(prior, "g", "left"), f"if(pm0 IS NULL, 0D, {PRIOR}D)"
+    had = lambda x: "0D" if prior is None else f"coalesce({x}, 0D)"
+    m = m.selectExpr(*keys, *m.columns[len(keys) :], f"{w} AS _w")
+    m = m.selectExpr(*keys, "n + _w AS n", *[f"s{i} + _w * {had(f'pm{i}')} AS s{i}" for i in range(_P)], *[f"q{i}{j} + _w * ({had(f'pc{i}{j}')} + {had(f'pm{i}')} * {had(f'pm{j}')}) AS q{i}{j}" for i, j in _PAIRS])
+    m = m.selectExpr(*keys, "n", *[f"q{i}{j}" for i, j in _PAIRS], *[f"s{i} / n AS m{i}" for i in range(_P)])
+    m = m.selectExpr(*keys, *[f"m{i}" for i in range(_P)], *[f"q{i}{j} / n - m{i} * m{j} AS c{i}{j}" for i, j in _PAIRS])
+    for i in range(_P):  # a column of the factor at a time
+        rest = lambda r, i=i: "".join(f" - l{r}{k} * l{i}{k}" for k in range(i))
+        m = m.selectExpr("*", f"sqrt(greatest({CONSISTENCY}D * c{i}{i} + {(FLOOR[i] * UNIT) ** 2}D{rest(i)}, 1D)) AS l{i}{i}")
+        if i + 1 < _P:
+            m = m.selectExpr("*", *[f"({CONSISTENCY}D * c{r}{i}{rest(r)}) / l{i}{i} AS l{r}{i}" for r in range(i + 1, _P)])
+    return m.selectExpr(*keys, *_FIT, *_COV, f"round({' + '.join(f'ln(l{i}{i})' for i in range(_P))}, 9) AS det")
+
+
+def _distances(x: DataFrame, keep: list[str]) -> DataFrame:
+    """The columns to keep, and distance: the squared Mahalanobis distance by forward substitution."""
     for i, f in enumerate(FEATURES):
-        y.append((F.col(f).cast("double") - F.col(f"m{i}") - sum((F.col(f"l{i}{k}") * y[k] for k in range(i)), F.lit(0.0))) / F.col(f"l{i}{i}"))
-    return sum((x * x for x in y[1:]), y[0] * y[0])
+        x = x.selectExpr("*", f"(cast({f} AS DOUBLE) - m{i}{''.join(f' - l{i}{k} * _y{k}' for k in range(i))}) / l{i}{i} AS _y{i}")
+    return x.selectExpr(*keep, f"{' + '.join(f'_y{i} * _y{i}' for i in range(_P))} AS distance")
 
 
 def _with(x: DataFrame, small: DataFrame, key: str = "g") -> DataFrame:
@@ -148,15 +152,17 @@ def _nearest(x: DataFrame, fit: DataFrame) -> DataFrame:
     Rows are added up by bin of their distance; the bins of a group number at most 64 for each
     power of e between the least and the largest distance.
     """
-    d = _with(x, fit.select("g", "start", *_FIT)).withColumn("b", F.floor(F.ln(_distance() + 1e-3) * 64).cast("int"))
-    bins = materialize(d.groupBy("g", "start", "b").agg(*_sums()))
-    runs = bins.groupBy("g", "start").agg(F.array_sort(F.collect_list(F.struct("b", "n"))).alias("bins"), F.sum("n").alias("all"))
-    cut = F.aggregate("bins", F.struct(F.lit(0).cast("long").alias("n"), F.lit(-(10**6)).alias("b")), lambda a, y: F.when(a["n"] >= F.col("all") * H, a).otherwise(F.struct((a["n"] + y["n"]).alias("n"), y["b"].alias("b"))))["b"]
-    near = bins.join(runs.select("g", "start", cut.alias("cut")), ["g", "start"]).where("b <= cut")
-    return near.groupBy("g", "start").agg(*[F.sum(c).alias(c) for c in ("n", *_SUMS)])
+    d = _distances(_with(x, fit.select("g", "start", *_FIT)), ["g", "start", *FEATURES])
+    return x.sparkSession.sql(
+        f"""WITH d AS (SELECT *, cast(floor(ln(distance + 1e-3) * 64) AS INT) AS b FROM {{d}}),
+        bins AS (SELECT g, start, b, {_OF_ROWS} FROM d GROUP BY g, start, b),
+        c AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY g, start ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS _before, sum(n) OVER (PARTITION BY g, start) AS _all FROM bins)
+        SELECT g, start, {", ".join(f"sum({c}) AS {c}" for c in ("n", *_SUMS))} FROM c WHERE _before < _all * {H} GROUP BY g, start""",
+        d=d,
+    )
 
 
-def _starts(x: DataFrame, prior: DataFrame | None) -> DataFrame:
+def _starts(x: DataFrame) -> DataFrame:
     """STARTS first estimates a group: medians and median absolute deviations, and subsets of about START_ROWS rows by hash."""
     wide = 16
     each = F.explode(F.array(*[F.struct(F.lit(i).alias("f"), F.floor(F.col(c) / wide).cast("int").alias("b")) for i, c in enumerate(FEATURES)])).alias("v")
@@ -174,49 +180,49 @@ def _starts(x: DataFrame, prior: DataFrame | None) -> DataFrame:
     n = h.where("f = 0").select("g", F.col("n").alias("_n"))
     some = _with(x, n).withColumn("start", F.explode(F.array(*[F.lit(i) for i in range(1, STARTS)])))
     some = some.where(F.pmod(F.xxhash64("_id", "start"), F.col("_n")) < START_ROWS)
-    return robust.unionByName(_estimate(some.groupBy("g", "start").agg(*_sums()), prior, "g", "start").select("g", "start", *_FIT))
+    sums = x.sparkSession.sql(f"SELECT g, start, {_OF_ROWS} FROM {{some}} GROUP BY g, start", some=some)
+    return robust.unionByName(_estimate(sums, None, "g", "start").select("g", "start", *_FIT))
 
 
-def determinants(x: DataFrame, prior: DataFrame | None = None) -> DataFrame:
+def determinants(x: DataFrame, around: DataFrame | None = None) -> DataFrame:
     """For every g of x (g, _salt, _id, FEATURES): the estimate of least determinant, with mean m_i, covariance c_ij and factor l_ij.
 
-    prior, if any, has g, pm_i and pc_ij: the estimate that PRIOR rows add.
+    around, if any, has g and _up, the larger group whose estimate PRIOR rows add.
     """
     x = x.select("g", "_salt", "_id", *FEATURES)
-    fit = materialize(_starts(x, prior))
-    for _ in range(FIRST):
-        fit = materialize(_estimate(_nearest(x, fit), prior, "g", "start"))
-    rest = [c for c in fit.columns if c != "g"]
+    fit = materialize(_starts(x))
+    rest = [*_FIT, *_COV, "det", "start"]
     least = lambda f: f.groupBy("g").agg(F.min_by(F.struct(*rest), F.struct("det", "start")).alias("z")).select("g", "z.*")
+
+    def prior(f: DataFrame) -> DataFrame | None:
+        if around is None:
+            return None
+        return around.join(f.select(F.col("g").alias("_up"), *[F.col(f"m{i}").alias(f"pm{i}") for i in range(_P)], *[F.col(f"c{i}{j}").alias(f"pc{i}{j}") for i, j in _PAIRS]), "_up").drop("_up")
+
+    for step in range(FIRST):
+        fit = materialize(_estimate(_nearest(x, fit), prior(least(fit)) if step else None, "g", "start"))
     best = materialize(least(fit))
     for _ in range(MOST):
-        new = materialize(_estimate(_nearest(x, best), prior, "g", "start"))
-        lower = new.join(best.select("g", F.col("det").alias("_det")), "g").where("det < _det").drop("_det")
-        if lower.isEmpty():
+        new = _estimate(_nearest(x, best), prior(best), "g", "start").join(best.select("g", F.col("det").alias("_det")), "g")
+        best = materialize(new)
+        if best.where(f"abs(det - _det) > {STILL}").isEmpty():
             break
-        best = materialize(least(best.unionByName(lower)))
     return best
 
 
 def robust_outliers(stats: DataFrame, key: str = "doc_id") -> DataFrame:
     """stats (with lang, source) plus distance (DOUBLE) and outlier (BOOLEAN)."""
-    name = lambda *c: F.concat_ws("\x01", *[F.coalesce(F.concat(F.lit("="), x), F.lit("-")) for x in c])
-    x = features(stats).withColumns({"_lang": name("lang"), "_own": name("lang", "source"), "_id": F.xxhash64(key, *FEATURES)})
+    name = lambda level, *c: F.concat_ws("\x01", F.lit(level), *[F.coalesce(F.concat(F.lit("="), x), F.lit("-")) for x in c])
+    x = features(stats).withColumns({"_lang": name("lang", "lang"), "_own": name("own", "lang", "source"), "_id": F.xxhash64(key, *FEATURES)})
     x = materialize(x.withColumn("_salt", F.pmod("_id", F.lit(SALTS)).cast("int")))
-    small = x.select("_lang", "_own", "_salt", "_id", *FEATURES)
-    prior, at = None, None
-    for level in (F.lit("*"), F.col("_lang"), F.col("_own")):
-        own = small.withColumn("g", level)
-        if at is not None:
-            # the estimate of the group around each group
-            up = own.select("g", at.alias("_up")).distinct()
-            old = fit.select(F.col("g").alias("_up"), *[F.col(f"m{i}").alias(f"pm{i}") for i in range(_P)], *[F.col(f"c{i}{j}").alias(f"pc{i}{j}") for i, j in _PAIRS])
-            prior = materialize(up.join(old, "_up").drop("_up"))
-        fit, at = determinants(own, prior), level
-    fit = fit.select(F.col("g").alias("_own"), *_FIT)
-    return _with(x, fit, "_own").withColumn("distance", _distance()).withColumn("outlier", F.col("distance") > CUT).drop("_own", "_lang", "_salt", "_id", *_FIT)
+    levels = materialize(x.select(F.explode(F.array(F.lit("*"), "_lang", "_own")).alias("g"), "_salt", "_id", *FEATURES))
+    around = x.select(F.col("_own").alias("g"), F.col("_lang").alias("_up")).distinct().unionByName(x.select(F.col("_lang").alias("g"), F.lit("*").alias("_up")).distinct())
+    fit = determinants(levels, materialize(around)).select(F.col("g").alias("_own"), *_FIT)
+    own = [c for c in x.columns if c not in ("_own", "_lang", "_salt", "_id")]
+    return _distances(_with(x, fit, "_own"), [f"`{c}`" for c in own]).withColumn("outlier", F.col("distance") > CUT)
 
 
+@tidied
 def quality_rules(docs: DataFrame) -> DataFrame:
     """doc_id, statistics, base_failed, distance, kept. The estimates use documents that pass the base rules."""
     s = materialize(text_stats(docs, "doc_id", "lang", "source").withColumn("base_failed", base_failed()))
