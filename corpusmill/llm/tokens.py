@@ -171,7 +171,7 @@ class Encoder:
         return np.concatenate(parts).astype(np.int32)
 
 
-def _count(path: str, stored: bool):
+def _count(path: str, stored: bool, limit: int = 0, head: int = 0):
     def run(batches):
         enc = Encoder.of(path)
         for b in batches:
@@ -184,10 +184,13 @@ def _count(path: str, stored: bool):
                     pa.array([len(x.encode()) for x in part], pa.int64()),
                     pa.array([int(c[-1]) if len(c) else 0 for c in counts], pa.int64()),
                 ]
+                if not stored:
+                    cols.append(pa.array([int(np.flatnonzero(c <= limit)[-1]) + 1 if len(c) and c.min() <= limit else 0 for c in counts], pa.int64()))
+                    cols.append(pa.array([int(c[min(head, len(c)) - 1]) if len(c) else 0 for c in counts], pa.int64()))
                 if stored:
                     ends = np.r_[0, np.cumsum([len(c) for c in counts])]
                     cols.append(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.concatenate(counts))))
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_bytes", "n_tokens", "counts"][: len(cols)])
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_bytes", "n_tokens", *(["counts"] if stored else ["chars_in_limit", "tokens_of_head"])])
 
     return run
 
@@ -209,9 +212,11 @@ def longest_within(counts: Column, budget: Column) -> Column:
     return F.coalesce(F.try_element_at(fits, F.lit(-1)), F.lit(0))
 
 
-def token_counts(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit: the last of every text's prefix counts."""
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(_count(path, False)), "doc_id long, n_bytes long, n_tokens long")
+def token_counts(docs: DataFrame, path: str, limit: int = 512, head: int = 1000) -> DataFrame:
+    """doc_id, n_bytes, n_tokens, over_limit, and from the same prefix counts a budget and a truncation: chars_in_limit (the most
+    code points whose encoding takes no more than `limit` tokens) and tokens_of_head (tokens of the first `head` code points)."""
+    schema = "doc_id long, n_bytes long, n_tokens long, chars_in_limit long, tokens_of_head long"
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(_count(path, False, limit, head)), schema)
     return out.withColumn("over_limit", F.col("n_tokens") > limit)
 
 
