@@ -78,3 +78,19 @@ def test_components_of_paths_and_stars(spark):
     e = [(i, i + 1) for i in range(20)] + [(100, 100 + i) for i in range(1, 30)] + [(200, 150)]
     got = {r["id"]: r["component"] for r in connected_components(spark.createDataFrame(e, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(21)}, **{100 + i: 100 for i in range(30)}, 150: 150, 200: 150}
+
+
+def test_residual_pairs_grow_with_the_members_of_a_group(spark, docs_of, prose, monkeypatch):
+    """Near copies of one text, some of them at its fringe, at two sizes of the group."""
+    counts, real = [], minhash._residual
+    monkeypatch.setattr(minhash, "_residual", lambda *a: counts.append((p := real(*a)).count()) or p)
+    base = prose(120, 21, 5000).split()
+    for n in (100, 400):
+        r, texts = random.Random(3), []
+        for i in range(n):
+            w = list(base)
+            for _ in range(r.randint(1, 22)):
+                w[r.randrange(len(w))] = f"x{r.randrange(10**9)}"
+            texts.append(" ".join(w))
+        check(docs_of, texts, 2)
+    assert counts[1] <= 8 * max(counts[0], 50)
