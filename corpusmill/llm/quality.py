@@ -11,9 +11,11 @@ H of the documents that lie nearest and takes their mean and covariance. All sta
 steps; the best of each group then goes on until no group's log determinant moves by STILL any more.
 
 One formula serves groups of every size: PRIOR rows with the estimate of the group's language are
-added to its moments, and PRIOR rows with the estimate of the whole corpus to a language's. So a
-group of few documents leans on its language, and one of many is on its own. Groups, languages and
-the corpus take their steps together, each with the last estimate of what is around it.
+added to its moments, and PRIOR rows with the estimate of the whole corpus to a language's. They
+count among the rows of which the share H is kept, so of n rows the nearest H * (n + PRIOR) - PRIOR
+are: none of a group of a few, which has its language's estimate and cannot hide behind its own
+spread, and nearly the share H of many. Groups, languages and the corpus take their steps together,
+each with the last estimate of what is around it.
 
 Features are integers (1/1024 units) and sums are exact, so that the result does not depend on the
 order in which rows are added. Distances are ranked in fine logarithmic bins, and the subset is the
@@ -146,18 +148,23 @@ def _with(x: DataFrame, small: DataFrame, key: str = "g") -> DataFrame:
     return x.join(small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [key, "_salt"])
 
 
-def _nearest(x: DataFrame, fit: DataFrame) -> DataFrame:
-    """Sums over the nearest rows, the share H, of every group and start: one pass over the rows.
+#: The group of all rows.
+ALL = "*"
+
+
+def _nearest(x: DataFrame, fit: DataFrame, around: bool) -> DataFrame:
+    """Sums over the nearest rows, the share H, of every group and start: one pass over the rows. around: PRIOR rows are added later.
 
     Rows are added up by bin of their distance; the bins of a group number at most 64 for each
     power of e between the least and the largest distance.
     """
     d = _distances(_with(x, fit.select("g", "start", *_FIT)), ["g", "start", *FEATURES])
+    least = f"_all * {H}" if not around else f"if(g = '{ALL}', _all * {H}, (_all + {PRIOR}) * {H} - {PRIOR})"
     return x.sparkSession.sql(
         f"""WITH d AS (SELECT *, cast(floor(ln(distance + 1e-3) * 64) AS INT) AS b FROM {{d}}),
         bins AS (SELECT g, start, b, {_OF_ROWS} FROM d GROUP BY g, start, b),
         c AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY g, start ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS _before, sum(n) OVER (PARTITION BY g, start) AS _all FROM bins)
-        SELECT g, start, {", ".join(f"sum({c}) AS {c}" for c in ("n", *_SUMS))} FROM c WHERE _before < _all * {H} GROUP BY g, start""",
+        SELECT g, start, {", ".join(f"sum(if(_before < {least}, {c}, 0)) AS {c}" for c in ("n", *_SUMS))} FROM c GROUP BY g, start""",
         d=d,
     )
 
@@ -200,10 +207,11 @@ def determinants(x: DataFrame, around: DataFrame | None = None) -> DataFrame:
         return around.join(f.select(F.col("g").alias("_up"), *[F.col(f"m{i}").alias(f"pm{i}") for i in range(_P)], *[F.col(f"c{i}{j}").alias(f"pc{i}{j}") for i, j in _PAIRS]), "_up").drop("_up")
 
     for step in range(FIRST):
-        fit = materialize(_estimate(_nearest(x, fit), prior(least(fit)) if step else None, "g", "start"))
+        old = prior(least(fit)) if step else None
+        fit = materialize(_estimate(_nearest(x, fit, old is not None), old, "g", "start"))
     best = materialize(least(fit))
     for _ in range(MOST):
-        new = _estimate(_nearest(x, best), prior(best), "g", "start").join(best.select("g", F.col("det").alias("_det")), "g")
+        new = _estimate(_nearest(x, best, around is not None), prior(best), "g", "start").join(best.select("g", F.col("det").alias("_det")), "g")
         best = materialize(new)
         if best.where(f"abs(det - _det) > {STILL}").isEmpty():
             break
@@ -215,8 +223,8 @@ def robust_outliers(stats: DataFrame, key: str = "doc_id") -> DataFrame:
     name = lambda level, *c: F.concat_ws("\x01", F.lit(level), *[F.coalesce(F.concat(F.lit("="), x), F.lit("-")) for x in c])
     x = features(stats).withColumns({"_lang": name("lang", "lang"), "_own": name("own", "lang", "source"), "_id": F.xxhash64(key, *FEATURES)})
     x = materialize(x.withColumn("_salt", F.pmod("_id", F.lit(SALTS)).cast("int")))
-    levels = materialize(x.select(F.explode(F.array(F.lit("*"), "_lang", "_own")).alias("g"), "_salt", "_id", *FEATURES))
-    around = x.select(F.col("_own").alias("g"), F.col("_lang").alias("_up")).distinct().unionByName(x.select(F.col("_lang").alias("g"), F.lit("*").alias("_up")).distinct())
+    levels = materialize(x.select(F.explode(F.array(F.lit(ALL), "_lang", "_own")).alias("g"), "_salt", "_id", *FEATURES))
+    around = x.select(F.col("_own").alias("g"), F.col("_lang").alias("_up")).distinct().unionByName(x.select(F.col("_lang").alias("g"), F.lit(ALL).alias("_up")).distinct())
     fit = determinants(levels, materialize(around)).select(F.col("g").alias("_own"), *_FIT)
     own = [c for c in x.columns if c not in ("_own", "_lang", "_salt", "_id")]
     return _distances(_with(x, fit, "_own"), [f"`{c}`" for c in own]).withColumn("outlier", F.col("distance") > CUT)
