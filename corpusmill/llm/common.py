@@ -35,10 +35,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 class _Open(threading.local):
-    """The tables that the operators at work on this thread have written, one list an operator."""
+    """The tables and broadcasts of the operators at work on this thread, one list an operator."""
 
     def __init__(self):
-        self.lists: list[list[DataFrame]] = []
+        self.lists: list[list] = []
 
 
 _OPEN = _Open()
@@ -56,8 +56,24 @@ def materialize(df: DataFrame) -> DataFrame:
     return out
 
 
+def share(spark: SparkSession, value):
+    """A broadcast, which a tidied() operator takes back when its result is written."""
+    out = spark.sparkContext.broadcast(value)
+    if _OPEN.lists:
+        _OPEN.lists[-1].append(out)
+    return out
+
+
+def trim() -> None:
+    """Give memory that this process holds in reserve back to the system."""
+    pa.default_memory_pool().release_unused()
+    release = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if release is not None:
+        release(0)
+
+
 def tidied(operator):
-    """The operator, its result written to the shared folder and the tables that it wrote on the way dropped."""
+    """The operator, its result written to the shared folder and the tables and broadcasts of its way taken back."""
 
     @functools.wraps(operator)
     def run(*args, **kwargs):
@@ -65,9 +81,9 @@ def tidied(operator):
         try:
             out = cut(operator(*args, **kwargs))
         finally:
-            tables = _OPEN.lists.pop()
-            for t in tables:
-                drop_table(t)
+            for x in _OPEN.lists.pop():
+                drop_table(x) if isinstance(x, DataFrame) else x.unpersist()
+            trim()
         if _OPEN.lists:
             _OPEN.lists[-1].append(out)
         return out
@@ -117,10 +133,7 @@ def lean(run):
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-            if trim is not None:
-                trim(0)
+            trim()
 
     return task
 

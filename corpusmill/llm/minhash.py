@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import U64, bloom_of, connected_components, lean, materialize, mix, shingle_sets, slices, table, text_buffer, tidied
+from corpusmill.llm.common import U64, bloom_of, connected_components, lean, materialize, mix, share, shingle_sets, slices, table, text_buffer, tidied
 
 BANDS, ROWS = 40, 5
 _FULL = U64(2**64 - 1)
@@ -226,7 +226,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     some = reps.where("id is not null")
     keys = some.select("id", F.explode("bands").alias("key"))
     shared = materialize(keys.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi"))
-    flt = spark.sparkContext.broadcast(bloom_of(shared.select("key"), "key"))
+    flt = share(spark, bloom_of(shared.select("key"), "key"))
 
     def members_of(batches):
         for b in batches:
@@ -243,7 +243,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array(mix(b.column("id").to_numpy().view(U64)).view(np.int64))], ["h"])
 
-    wanted = spark.sparkContext.broadcast(bloom_of(ids.select("id").mapInArrow(lean(hashed), "h long"), "h"))
+    wanted = share(spark, bloom_of(ids.select("id").mapInArrow(lean(hashed), "h long"), "h"))
     exact = docs.mapInArrow(lean(_sets(k, wanted)), "doc_id long, shingles binary").withColumnRenamed("doc_id", "id")
     sets = exact.join(members.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
     sets = materialize(sets.select("id", "shingles", (F.octet_length("shingles") / 8).cast("long").alias("n")))
