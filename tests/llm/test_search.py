@@ -8,7 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from corpusmill.llm import decontam, licenses, substrings, toxicity, urls
+from corpusmill.llm import common, decontam, licenses, substrings, toxicity, urls
 from corpusmill.llm.common import BlockedBloom
 
 W = re.compile(r"[^\x20\x09-\x0d]+")
@@ -21,6 +21,32 @@ def test_bloom_has_no_false_negatives_and_few_false_positives():
     assert b.test(h[:30_000]).all() and b.test(h[30_000:]).mean() < 0.01
 
 
+@pytest.mark.parametrize("piece", [common.PIECE, 1 << 11])
+def test_filter_reaches_the_driver_in_packed_rows(spark, monkeypatch, piece):
+    """At once or piece by piece, it is the filter that its keys make, and few rows come instead of one a word."""
+    n, rows, frame = 60_000, [0], type(spark.range(0))
+
+    def counted(f):
+        def run(self, *args, **kwargs):
+            out = f(self, *args, **kwargs)
+            out = out if hasattr(out, "__len__") else list(out)
+            rows[0] += len(out)
+            return out
+
+        return run
+
+    for name in ("collect", "toPandas", "toLocalIterator", "toArrow"):
+        monkeypatch.setattr(frame, name, counted(getattr(frame, name)))
+    monkeypatch.setattr(common, "PIECE", piece)
+    keys = np.random.default_rng(1).integers(-(2**63), 2**63, n)
+    got = common.bloom_of(spark.createDataFrame([(int(k),) for k in keys] + [(None,)], "h long"), "h")
+    want = BlockedBloom(BlockedBloom.blocks_for(n))
+    want.add(keys.view(np.uint64))
+    assert got.n_blocks == want.n_blocks and (got.words == want.words).all() and (want.words != 0).sum() > 10_000
+    assert rows[0] <= 50
+    assert common.bloom_of(spark.createDataFrame([], "h long"), "h").words.sum() == 0
+
+
 def test_licences(docs_of, odd, prose):
     texts = odd + [
         prose(30, 1) + "\nReleased under the MIT License.\n" + prose(20, 2),
