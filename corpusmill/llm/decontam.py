@@ -9,13 +9,16 @@ items' windows (bounded size), so only possible hits leave the scan.
 Templates are taken word by word, and with runs of like placeholders as one slot, so that a slot may
 be filled with any number of words. Hits on one diagonal (document position minus item position)
 form an occurrence, and so do the most hits in the order of the item, each no further than the
-item's length behind the last: words that were put in or left out only shift the rest. In a template
+item's length behind the last, and the runs in that order in which each hit follows the nearest one
+before it, so that one occurrence does not spoil another beside it: words that were put in or left out only shift the rest. In a template
 occurrence every filling of the item must become one filling of the document: of the fillings
 that changed anywhere, their number over the number of what they became must reach CONSISTENT,
 and the same in reverse. So an item with other numbers or names is caught, while a text that
 merely has the same shape with unrelated fillings is not. An occurrence counts if it covers LEAST_WORDS words, or
-LEAST_SHARE of the item's windows. Items with equal plain (or template) word sequences are one
-class, reported by its smallest item_id.
+LEAST_SHARE of the item's windows. Items with equal words and
+placeholders with equal fillings are one class, reported by its smallest item_id; item_classes() has
+the members. Items of one template with other fillings are compared each, as a document may be
+consistent with one of them and not with another.
 
 Items with fewer than K words have no window. They match as they are: where all their words, and no
 others, make up a line or a sentence of a document.
@@ -203,8 +206,26 @@ def rising(pos: list[int], ipos: list[int]) -> list[int]:
     return out[::-1]
 
 
+def nearest(pos: list[int], ipos: list[int], reach: int) -> list[list[int]]:
+    """Indices of all sorted hits (as in rising()) in runs that rise in both: each goes on from the nearest run behind it that it can, within reach."""
+    out, open_, i = [], [], 0
+    while i < len(pos):
+        p, moved = pos[i], []
+        open_ = [r for r in open_ if p - pos[r[-1]] <= reach]
+        while i < len(pos) and pos[i] == p:
+            j = next((j for j in range(len(open_) - 1, -1, -1) if ipos[open_[j][-1]] < ipos[i]), None)
+            run = [] if j is None else open_.pop(j)
+            if j is None:
+                out.append(run)
+            run.append(i)
+            moved.append(run)
+            i += 1
+        open_ += reversed(moved)
+    return out
+
+
 def _pooled(batches):
-    """Of the hits of each document, item and kind in sorted rows, those of the best order, numbered in `diagonal` by where they lie."""
+    """Of the hits of each document, item and kind in sorted rows, those of the best order, and the runs of nearest() that differ, numbered in `diagonal`."""
     kept = None
 
     def chosen(t: pa.Table):
@@ -213,8 +234,10 @@ def _pooled(batches):
         take, label, s = [], [], 0
         for e in range(1, len(key) + 1):
             if e == len(key) or key[e] != key[s] or pos[e] - pos[e - 1] > n[s] + K - 1:
-                take += [s + i for i in rising(pos[s:e], ipos[s:e])]
-                label += [s] * (len(take) - len(label))
+                best = rising(pos[s:e], ipos[s:e])
+                for r in (best, *(r for r in nearest(pos[s:e], ipos[s:e], n[s] + K - 1) if r != best and len(r) > 1)):
+                    take += [s + i for i in r]
+                    label += [len(take)] * len(r)
                 s = e
         t = t.take(pa.array(take, pa.int64()))
         return t.set_column(t.schema.get_field_index("diagonal"), "diagonal", pa.array(label, pa.int64())).combine_chunks().to_batches()
@@ -234,16 +257,31 @@ def _pooled(batches):
         yield from chosen(kept)
 
 
+def _windows_of(items: DataFrame) -> DataFrame:
+    it = items.select(F.col("item_id").cast("long").alias("id"), "text").where("id is not null")
+    return materialize(it.mapInArrow(lean(_scan(None)), _OUT))
+
+
+def _classes(own: DataFrame) -> DataFrame:
+    """id and class, the smallest id of equal windows and fillings of every kind."""
+    seq = own.groupBy("id").agg(F.sha2(F.to_json(F.sort_array(F.collect_list(F.struct("kind", "pos", "h", "slots")))), 256).alias("key"))
+    return seq.join(seq.groupBy("key").agg(F.min("id").alias("class")), "key").select("id", "class")
+
+
+@tidied
+def item_classes(items: DataFrame) -> DataFrame:
+    """item_id and class_id of the items with a word: contaminated() reports class_id in place of each item_id of its class."""
+    return _classes(_windows_of(items)).select(F.col("id").alias("item_id"), F.col("class").alias("class_id"))
+
+
 @tidied
 def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, item_id, kind (plain or template), start_word, end_word, coverage, consistency: the best occurrence a document, item and kind."""
     spark = docs.sparkSession
-    it = items.select(F.col("item_id").cast("long").alias("id"), "text").where("id is not null")
-    own = materialize(it.mapInArrow(lean(_scan(None)), _OUT))
-    # items with the same sequence of windows are one class
-    seq = own.groupBy("kind", "id").agg(F.sort_array(F.collect_list(F.struct("pos", "h"))).alias("s")).select("kind", "id", F.sha2(F.to_json("s"), 256).alias("key"), F.size("s").alias("n_windows"))
-    cls = seq.groupBy("kind", "key").agg(F.min("id").alias("id"), F.first("n_windows").alias("n_windows"))
-    own = materialize(own.join(cls.select("kind", "id", "n_windows"), ["kind", "id"]))
+    own = _windows_of(items)
+    least = _classes(own).where("id = class").select("id")
+    size = own.groupBy("kind", "id").agg(F.count("*").alias("n_windows"))
+    own = materialize(own.join(least, "id").join(size, ["kind", "id"]))
     flt = share(spark, bloom_of(own.select("h").distinct(), "h", 48))
     found = docs.select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(lean(_scan(flt)), _OUT)
     item = own.select("kind", "h", F.col("id").alias("item_id"), F.col("pos").alias("ipos"), F.col("slots").alias("islots"), "n_windows")

@@ -347,3 +347,29 @@ def test_edited_passages_are_found_at_two_sizes(docs_of, prose, n):
     found = {tuple(sorted((order[x["doc_id"]], order[x["source_doc_id"]]))) for x in rows}
     assert sum((2 * i, 2 * i + 1) in found for i in range(n)) >= 0.9 * n
     assert all(b == a + 1 and a % 2 == 0 for a, b in found)
+
+
+def test_items_of_one_template_are_compared_each(spark, docs_of):
+    """A document that is consistent with one item and not with the smallest of its template."""
+    text = "the train from {} goes slowly to {} and then the bus from {} goes quickly back to {} in the end"
+    first, second = text.format("Berlin", "Rome", "Berlin", "Rome"), text.format("Paris", "Oslo", "Vienna", "Lisbon")
+    items = spark.createDataFrame([(1, first), (2, second), (3, second + "."), (4, second), (5, None)], "item_id long, text string")
+    texts = [text.format("Madrid", "Kyiv", "Dublin", "Prague"), first, second]
+    got = {(r["doc_id"], r["item_id"], r["kind"]) for r in decontam.contaminated(docs_of(texts), items).collect()}
+    assert {(0, 2, "template"), (1, 1, "plain"), (1, 1, "template"), (2, 2, "plain"), (2, 2, "template")} <= got
+    assert (0, 1, "template") not in got and {x[1] for x in got} <= {1, 2}
+    assert sorted(tuple(r) for r in decontam.item_classes(items).collect()) == [(1, 1), (2, 2), (3, 2), (4, 2)]
+
+
+def test_an_occurrence_beside_another_one_is_found(spark, docs_of):
+    """An edited consistent one, of two diagonals that do not suffice, right behind a part with other fillings and more of the hits."""
+    item = "from Berlin we walked on to Rome over hills and from there to Oslo by ship all alone"
+    other = "from Paris we walked on to Paris over hills and from there"
+    edited = "from Kyiv we walked on to Madrid over hills very slowly and from there to Dublin by ship all alone"
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = {r["doc_id"] for r in decontam.contaminated(docs_of([edited, other + " . . " + edited]), items).where("kind = 'template'").collect()}
+    assert got == {0, 1}
+    pos, ipos = [0, 1, 2, 3, 4, 20, 21, 29, 30], [0, 1, 2, 3, 4, 0, 1, 8, 9]
+    assert decontam.rising(pos, ipos) == [0, 1, 2, 3, 4, 7, 8]
+    assert decontam.nearest(pos, ipos, 100) == [[0, 1, 2, 3, 4], [5, 6, 7, 8]]
+    assert decontam.nearest([0, 0, 1, 1, 2, 2], [6, 2, 7, 3, 8, 4], 100) == [[0, 2, 4], [1, 3, 5]]
