@@ -1,13 +1,12 @@
-"""Source-code filters; what needs a parser is an Arrow UDF over whole batches."""
+"""Source-code filters; what needs a parser is an Arrow UDF."""
 
 import ast
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusmill.functions.arrow import by_pieces
 from corpusmill.functions.expr import col, contains_any, strip
 from corpusmill.functions.phrases import phrases
 from corpusmill.functions.text import correct_by_dict
@@ -22,26 +21,20 @@ def _imports(code: str | None) -> list[str] | None:
     return [a.name for n in nodes if isinstance(n, ast.Import) for a in n.names] + [n.module for n in nodes if isinstance(n, ast.ImportFrom) and n.module]
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def imports(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for s in batches:
-        yield s.map(_imports)
+imports = by_pieces(lambda: lambda codes: [_imports(c) for c in codes], T.ArrayType(T.StringType()))
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def docstrings(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def _docstrings(code: str | None) -> list[str]:
     """Docstrings of modules, classes and functions; none if the code does not parse."""
+    try:
+        nodes = ast.walk(ast.parse(code or ""))
+        found = (ast.get_docstring(n) for n in nodes if isinstance(n, (ast.FunctionDef, ast.ClassDef, ast.Module)))
+        return [d for d in found if d]
+    except Exception:
+        return []
 
-    def one(code):
-        try:
-            nodes = ast.walk(ast.parse(code or ""))
-            found = (ast.get_docstring(n) for n in nodes if isinstance(n, (ast.FunctionDef, ast.ClassDef, ast.Module)))
-            return [d for d in found if d]
-        except Exception:
-            return []
 
-    for s in batches:
-        yield s.map(one)
+docstrings = by_pieces(lambda: lambda codes: [_docstrings(c) for c in codes], T.ArrayType(T.StringType()))
 
 
 def imports_allowed(modules, denied=None) -> Column:
