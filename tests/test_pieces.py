@@ -1,6 +1,8 @@
 """Arrow UDFs take a bounded piece of a batch at a time, and give what the whole batch would."""
 
+import random
 import tracemalloc
+from collections import Counter
 
 import pyarrow as pa
 import pytest
@@ -9,7 +11,7 @@ from pyspark.sql import types as T
 
 from corpusmill.functions import arrow
 from corpusmill.functions import text as tx
-from corpusmill.operators import code, dedup, extract, filters
+from corpusmill.operators import code, dedup, extract, filters, tokens
 
 
 @pytest.fixture(scope="module")
@@ -75,3 +77,42 @@ STEPS = {
 @pytest.mark.parametrize("name", STEPS)
 def test_memory_of_a_step_is_that_of_a_piece(spark, name):
     assert peak(*STEPS[name]) < 12
+
+
+def naive_merges(words: dict[str, int], size: int) -> list[tuple[str, str]]:
+    split, merges = {w: list(w) for w in words}, []
+    while len(merges) < size:
+        counts = Counter()
+        for w, n in words.items():
+            for p in zip(split[w], split[w][1:]):
+                counts[p] += n
+        if not counts:
+            break
+        a, b = min(counts, key=lambda p: (-counts[p], p))
+        merges.append((a, b))
+        for w, x in split.items():
+            i, out = 0, []
+            while i < len(x):
+                both = x[i : i + 2] == [a, b]
+                out.append(a + b if both else x[i])
+                i += 1 + both
+            split[w] = out
+    return merges
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_merges_of_one_step_are_those_of_single_steps(spark, seed):
+    r = random.Random(seed)
+    texts = [" ".join("".join(r.choice("ab" if seed == 0 else "abcdeé東") for _ in range(r.randint(1, 9))) for _ in range(30)) for _ in range(20)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = naive_merges(Counter(w + " " for t in texts for w in t.split(" ")), 40)
+    assert tokens.train_bpe(df, 40) == want
+    if seed < 2:  # no word on the driver, and the state written anew on the way
+        assert tokens.train_bpe(df, 40, most_chars=0) == want
+
+
+def test_training_on_the_driver_is_bounded_by_characters(spark, monkeypatch):
+    """Few words may be long: what the driver holds depends on characters, not on words alone."""
+    df = spark.createDataFrame([(0, " ".join(str(i) * 50 for i in range(100)))], "doc_id long, text string")
+    monkeypatch.setattr(tokens, "_total", lambda sums: pytest.fail("merged on the driver"))
+    assert len(tokens.train_bpe(df, 3, most_chars=1000)) == 3
