@@ -5,14 +5,14 @@ from __future__ import annotations
 import hashlib
 import math
 from collections import Counter
-from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from corpusmill.functions.arrow import by_pieces
 from corpusmill.functions.expr import col
 from corpusmill.functions.metrics import doc_id
 from corpusmill.functions.phrases import phrases
@@ -97,13 +97,11 @@ def simhash_bits(docs: DataFrame, key: str = "doc_id", text: str = "text", stopw
     """
     stop = frozenset(phrases("stopwords") if stopwords is None else stopwords)
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def signer():
         seen: dict = {}
-        for s in batches:
-            yield s.map(lambda t: _signature(t.split(" "), stop, bits, seen), na_action="ignore")
+        return lambda texts: [None if t is None else _signature(t.split(" "), stop, bits, seen) for t in texts]
 
-    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return docs.select(key, F.pandas_udf(run, "string")(simhash_clean(text)).alias("simhash"))
+    return docs.select(key, by_pieces(signer, T.StringType())(simhash_clean(text)).alias("simhash"))
 
 
 def simhash_pairs(hashes: DataFrame, key: str = "doc_id", most: int = 3) -> DataFrame:

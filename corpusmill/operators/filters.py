@@ -8,12 +8,12 @@ their own.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from corpusmill.functions.arrow import by_pieces
 from corpusmill.functions.expr import alternation, col, contains_any, count_all, count_chars, count_of, keep, strip, words
 from corpusmill.functions.phrases import phrases
 
@@ -60,11 +60,11 @@ def _automaton(items: tuple[str, ...]):
     return a
 
 
-def count_literals(text, items) -> Column:
-    """count_all() in one pass over each text, however many literals there are: an automaton over Arrow batches."""
+def literal_counter(items):
+    """count_literals() as a function of a column."""
     items = tuple(items)
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def counter():
         a = _automaton(items)
 
         def one(t: str) -> int:
@@ -76,11 +76,14 @@ def count_literals(text, items) -> Column:
                     n += k
             return n
 
-        for s in batches:
-            yield s.map(one, na_action="ignore").astype("Int64")
+        return lambda texts: [None if t is None else one(t) for t in texts]
+
+    return by_pieces(counter, T.LongType())
 
-    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return F.pandas_udf(run, "bigint")(col(text))
+
+def count_literals(text, items) -> Column:
+    """count_all() in one pass over each text, however many literals there are: an automaton over Arrow batches."""
+    return literal_counter(items)(col(text))
 
 
 def topic_hits(text, keywords=None) -> Column:
