@@ -1,13 +1,11 @@
 """Scalar metrics of a text."""
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusmill.functions.arrow import each
 from corpusmill.functions.expr import col, count_chars, count_of
 from corpusmill.functions.phrases import mapping
 
@@ -37,10 +35,7 @@ def _entropy(text: str) -> float:
     return float(np.log2(n.sum()) - (n * np.log2(n)).sum() / n.sum()) if len(n) else 0.0
 
 
-@F.pandas_udf(T.DoubleType())
-def _entropies(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for s in batches:
-        yield s.map(_entropy, na_action="ignore").astype(float)
+_entropies = each(_entropy, T.DoubleType())
 
 
 def entropy(text) -> Column:
