@@ -28,7 +28,7 @@ def key(x):
     return (("nan",) if math.isnan(x) else (math.copysign(1, x), x)) if isinstance(x, float) else x
 
 
-@pytest.mark.parametrize("name", ["entropy", "term_density"])
+@pytest.mark.parametrize("name", ["entropy", "term_density", "viewer_stats"])
 def test_odd_texts_give_what_sql_gives(spark, odd, name):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{odd}/documents.parquet/*.parquet'")
