@@ -28,3 +28,10 @@ def test_archives_are_written_by_several_tasks(spark, parts, monkeypatch):
     got = sorted(tuple(r) for r in entry.queries()["archive_rewrite"](spark, SF).select("url", "contents").collect())
     assert files[0] > 1
     assert got == sorted(tuple(r) for r in entry.queries()["archive_to_corpus"](spark, SF).select("url", "contents").collect())
+
+
+def test_chunks_split_a_text_once(spark):
+    df = entry.queries()["fixed_chunks"](spark, SF)
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+    x = spark.createDataFrame([([*range(n)],) for n in (0, 1, 4, 5, 8, 9, 13)], "t array<int>")
+    assert [r[0] for r in x.select(tokens.chunks("t", 4)).collect()] == [[[*range(i, i + 4)] for i in range(0, 4 * ((n - 1) // 4), 4)] for n in (0, 1, 4, 5, 8, 9, 13)]
