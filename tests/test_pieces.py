@@ -118,3 +118,10 @@ def test_training_on_the_driver_is_bounded_by_characters(spark, monkeypatch):
     df = spark.createDataFrame([(0, " ".join(str(i) * 50 for i in range(100)))], "doc_id long, text string")
     monkeypatch.setattr(tokens, "_total", lambda sums: pytest.fail("merged on the driver"))
     assert len(tokens.train_bpe(df, 3, most_chars=1000)) == 3
+
+
+def test_merges_of_whole_texts(spark):
+    texts = ["aaaa aa", "the the cat", "", "x\x01y the aaa", "é東é東"]
+    df = spark.createDataFrame([*enumerate(texts), (9, None)], "doc_id long, text string").repartition(2)
+    for n, every in ((12, 3), (60, 8)):
+        assert tokens.train_bpe_whole(df, n, every=every) == naive_merges(Counter(texts), n)
