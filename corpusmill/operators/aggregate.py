@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusmill.functions.arrow import pieces
 from corpusmill.functions.expr import col, count_of
 from corpusmill.functions.text import simhash_clean
 
@@ -40,6 +44,51 @@ def doc_word_counts(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     return docs.select(key, F.explode(F.split(simhash_clean(text), " ")).alias("word")).groupBy(key, "word").agg(F.count("*").alias("n"))
 
 
+def term_counts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(key, word, n, m) for each word of each document, m being the document's words, and (word, df).
+
+    A document is one row, so its words are counted where it is read and only sums by word are
+    shuffled. Where keys repeat, rows of a key are one document, whose words are grouped. Rows
+    without a key are one document of df.
+    """
+    odd = docs.groupBy(key).agg(F.count("*").alias("n")).where((F.col("n") > 1) | F.col(key).isNull())
+    if not odd.isEmpty():
+        c = docs.select(key, F.explode(F.split(text, " ")).alias("word")).groupBy(key, "word").agg(F.count("*").alias("n"))
+        m = c.groupBy(key).agg(F.sum("n").alias("m"))
+        return c.join(m, key), c.groupBy("word").agg(F.count("*").alias("df"))
+
+    def count(batches):
+        for b in batches:
+            at = 0
+            for p in pieces(b.column(1)):
+                rows, words, n, m = [], [], [], []
+                for i, t in enumerate(p.to_pylist()):
+                    if t is not None:
+                        all_words = t.split(" ")
+                        got = Counter(all_words)
+                        rows += [at + i] * len(got)
+                        words += got
+                        n += got.values()
+                        m += [len(all_words)] * len(got)
+                at += len(p)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), pa.array(words, pa.string()), pa.array(n, pa.int64()), pa.array(m, pa.int64())], [key, "word", "n", "m"])
+
+    def documents_of(batches):
+        total: Counter = Counter()
+        for b in batches:
+            for p in pieces(b.column(0)):
+                for t in p.to_pylist():
+                    total.update(set(t.split(" ")) if t is not None else ())
+                if len(total) > 200_000:  # what a task holds is bounded
+                    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["word", "n"])
+                    total = Counter()
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["word", "n"])
+
+    kind = docs.schema[key].dataType.simpleString()
+    c = docs.select(key, text).mapInArrow(count, f"`{key}` {kind}, word string, n long, m long")
+    return c, docs.select(text).mapInArrow(documents_of, "word string, n long").groupBy("word").agg(F.sum("n").alias("df"))
+
+
 def char_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(F.explode(F.split(F.col(text), "")).alias("c")).where("c <> ''").groupBy("c").agg(F.count("*").alias("n"))
 
