@@ -52,3 +52,11 @@ def test_terms_of_repeated_keys_are_those_of_sql(spark, tmp_path):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     want = con.execute(entry.oracle_sql()["tf_idf"]).fetchall()
     assert sorted(map(tuple, entry.queries()["tf_idf"](spark, f"file://{tmp_path}").collect())) == sorted(want)
+
+
+def test_shards_of_a_stream_grow_with_the_table(spark, tmp_path):
+    for n, files in ((9, 9), (2, 3)):
+        path = f"file://{tmp_path}/{n}"
+        half = catalog_io._as_shards(spark.range(1000).repartition(n), path, 3)
+        assert spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path).count() == files and half == (files + 1) // 2
+        assert spark.read.parquet(path).count() == 1000
