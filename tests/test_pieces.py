@@ -1,6 +1,7 @@
 """Arrow UDFs take a bounded piece of a batch at a time, and give what the whole batch would."""
 
 import random
+import re
 import tracemalloc
 from collections import Counter
 
@@ -11,6 +12,7 @@ from pyspark.sql import types as T
 
 from corpusmill.functions import arrow
 from corpusmill.functions import text as tx
+from corpusmill.functions.phrases import mapping
 from corpusmill.operators import code, dedup, extract, filters, tokens
 
 
@@ -125,3 +127,18 @@ def test_merges_of_whole_texts(spark):
     df = spark.createDataFrame([*enumerate(texts), (9, None)], "doc_id long, text string").repartition(2)
     for n, every in ((12, 3), (60, 8)):
         assert tokens.train_bpe_whole(df, n, every=every) == naive_merges(Counter(texts), n)
+
+
+ODD = ["", None, " um 東京  春 八 平 18é", "naïve ♪… дом≅~ i i ", "a\x00b￿c\x00￿\x00d ½é", "\n\n\nx\n\ny`–—“”…", "𝑛😊é\n", "plain"]
+
+
+def test_transliteration_in_one_pass_is_that_in_order(spark):
+    def slow(t):
+        for a, b in mapping("transliterate").items():
+            t = t.replace(a, b)
+        return re.sub("[Ѐ-ӿ぀-ヿ㐀-䶿一-鿿]", "?", t)
+
+    texts = [*ODD, *(f"x{a}y{b} " for a, b in mapping("transliterate").items())]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    assert [r[0] for r in df.orderBy("doc_id").select(tx.transliterate("text")).collect()] == [t if t is None else slow(t) for t in texts]
+    assert "replace(" not in df.select(tx.transliterate("text"))._jdf.queryExecution().optimizedPlan().toString()  # not 136 passes
