@@ -142,3 +142,15 @@ def test_transliteration_in_one_pass_is_that_in_order(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
     assert [r[0] for r in df.orderBy("doc_id").select(tx.transliterate("text")).collect()] == [t if t is None else slow(t) for t in texts]
     assert "replace(" not in df.select(tx.transliterate("text"))._jdf.queryExecution().optimizedPlan().toString()  # not 136 passes
+
+
+def test_good_characters_in_one_pass(spark):
+    def slow(t):
+        for a, b in zip("–—’ˈ`”“…", [*"--'''\"\"", "..."]):
+            t = t.replace(a, b)
+        return re.sub("\n{2,}", "\n", re.sub(rf"[^\x20-\x5F\x61-\x7E\n©°•·×→{tx.GREEK}]", "?", t))
+
+    texts = [*ODD, "東京大学日本語文字化け–`\n\n", "αβγ©\t\r"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    assert [r[0] for r in df.orderBy("doc_id").select(tx.make_good("text")).collect()] == [t if t is None else slow(t) for t in texts]
+    assert "regexp_replace" not in df.select(tx.make_good("text"))._jdf.queryExecution().optimizedPlan().toString()
